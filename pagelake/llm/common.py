@@ -86,3 +86,8 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
         h = (h ^ words[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return mix64(h)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it is measured to hold at most so many rows (of a few numbers each); else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
