@@ -22,6 +22,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -60,7 +66,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_files, op4_packing, op7_quality, op8_token_counts, op9_fingerprints, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_files, op4_packing, op7_quality, op8_token_counts, op9_fingerprints, op10_main_text)}
 
 #: The others can't be said in SQL; tests hold them against a library, brute force, a round trip or held-out rows.
 ORACLE_SQL = {"op1_decontamination": SQL_1}
