@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str =
         enc = encoder(path)
         for batch in batches:
             at, rows = 0, ([], [], [], [], [])
-            for part in in_parts(batch.column(1).to_pylist()):
+            for part in in_parts(batch.column(1)):
                 for ids in enc.ids(part):
                     ids += tail
                     n = len(ids) // 4

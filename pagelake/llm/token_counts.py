@@ -33,12 +33,12 @@ def whole_tokens(path: str) -> frozenset[str]:
 class Counter:
     """Counts by the shortcut. The whole tokens are always known; the merged rest is remembered up to a bound."""
 
-    def __init__(self, path: str, whole: frozenset[str], bound: int = 500_000):
+    def __init__(self, path: str, whole: frozenset[str], bound: int = 200_000):
         self.enc, self.known, self.bound = encoder(path), dict.fromkeys(whole, 1), bound + len(whole)
 
     def __call__(self, texts: list[str]) -> list[int]:
         cut, known = [self.enc.pieces(t) for t in texts], self.known
-        if missing := list({p for c in cut if c for p in c if p not in known}):
+        if missing := list(set().union(*(c for c in cut if c)).difference(known)):
             known.update((p, len(b) // 4) for p, b in self.enc.learn(missing).items())
         out = [len(self.enc.whole(t)) // 4 if c is None else sum(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
         forget(known, missing, self.bound)
@@ -56,7 +56,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         if path not in _counters:
             _counters[path] = Counter(path, whole)
         for batch in batches:
-            n = [x for part in in_parts(batch.column(1).to_pylist()) for x in _counters[path](part)]
+            n = [x for part in in_parts(batch.column(1)) for x in _counters[path](part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = id_text(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))

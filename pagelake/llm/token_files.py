@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, shar
         for batch in batches:
             out = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("first_id", batch.schema.field(0).type), ("last_id", batch.schema.field(0).type), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("data", pa.binary())])
             at = iter(batch.column(0).to_pylist())
-            for part in in_parts(batch.column(1).to_pylist()):
+            for part in in_parts(batch.column(1)):
                 for raw, doc in zip(enc.ids(part), at):  # noqa: B905  parts take turns at it; the ids come first so that none is lost
                     held.append(doc)
                     ids.append(np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))

@@ -15,6 +15,7 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters whose class (letter, number, space, other) and lower case are beyond dispute.
 _PLAIN = [c for r in ((9, 11), (13, 14), (32, 127), (0xA1, 0x130), (0x131, 0x250), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in map(chr, range(*r))]
@@ -48,7 +49,7 @@ def _kind(spec: dict) -> str:
 class Encoder:
     """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 320_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -84,7 +85,7 @@ class Encoder:
                 rows.append(p)
         for at in range(0, len(rows), 20_000):
             part = rows[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(("\n" if self.kind == "byte" else " ").join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([("\n" if self.kind == "byte" else " ").join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(ids == self.newline[0]) if self.kind == "byte" else np.flatnonzero(self.ends[ids]) + 1
             if self.kind == "byte":
                 starts, stops = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(ids)]))
@@ -100,7 +101,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         memo = self.memo
-        if missing := list({p for c in cut if c for p in c if p not in memo}):
+        if missing := list(set().union(*(c for c in cut if c)).difference(memo)):
             memo.update(self.learn(missing))
         out = [self.whole(t) if c is None else b"".join(map(memo.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
         forget(memo, missing, self.bound)
@@ -120,14 +121,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_parts(texts: list[str], chars: int = 4_000_000):
-    """Runs of the list that hold about so many characters."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def in_parts(texts: pa.Array, rows: int = 256):
+    """Runs of an Arrow column as Python strings, so that few texts are held twice."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
