@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(align, f"a {kind}, b {kind}")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def blocks(members: DataFrame, likely: float = LIKELY) -> DataFrame:
     """Likely pairs (a, b) of ``members`` (bucket, doc_id, root, least): those of different roots in a bucket whose minima agree often enough.
 
     A bucket of several roots is dealt into blocks of about BLOCK members, by a hash; each pair of blocks is one group. A member
@@ -237,16 +237,16 @@ def _blocks(members: DataFrame) -> DataFrame:
     dealt = dealt.select("bucket", "doc_id", "root", "least", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.frombuffer(b"".join(pdf["least"]), np.uint32).reshape(len(pdf), SKETCHES)
+        m = np.frombuffer(b"".join(pdf["least"]), np.uint32).reshape(len(pdf), -1)
         ids, roots, own = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy(), pdf["own"].to_numpy()
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         out = []
         for i in np.flatnonzero(own == x).tolist():
             j = np.flatnonzero((own == y) & (roots != roots[i]) & ((ids > ids[i]) if x == y else True))
             if len(j):
-                j = j[(m[j] == m[i]).mean(axis=1) >= LIKELY]
+                j = j[(m[j] == m[i]).mean(axis=1) >= likely]
                 out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j.tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).astype(ids.dtype)
+        return pd.DataFrame(out, columns=["a", "b"]).astype(pdf["doc_id"].dtype)
 
     kind = members.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
@@ -271,7 +271,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     company = shared.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     apart = company.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
     members = stored(company.join(apart, "bucket").join(heads.select("doc_id", "least"), "doc_id"), "members")
-    likely = stored(_blocks(members), "likely")
+    likely = stored(blocks(members), "likely")
     done = partner.select("a", F.col("doc_id").alias("b"))
     more = stored(verified(likely.join(done, ["a", "b"], "left_anti"), texts, similarity), "links")
     roots = components(links.unionByName(more))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .decontamination import SQL as SQL_1
@@ -42,6 +43,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import cut_repeats
+
+    out = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("cut_places").cast("long").alias("n_cut"), "cut_places", "cut_passages", "text")
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -66,7 +80,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_files, op4_packing, op7_quality, op8_token_counts, op9_fingerprints, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_files, op4_packing, op5_substring_dedup, op6_near_dedup, op7_quality, op8_token_counts, op9_fingerprints, op10_main_text)}
 
 #: The others can't be said in SQL; tests hold them against a library, brute force, a round trip or held-out rows.
 ORACLE_SQL = {"op1_decontamination": SQL_1}
