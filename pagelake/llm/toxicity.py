@@ -261,25 +261,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start and end of each toxic run, in characters) of every row."""
     rows = id_text(docs, id_col, text_col)
-    field = train(rows, labels, label_col, max_fit_docs)
-    shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.trans, field.intercept, field.slopes))  # a fixed number of weights
+    shared = _shared(rows, labels, label_col, max_fit_docs)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def tag(batches):
         own = Field(*shared.value)
         for batch in batches:
             scores, spans = [], []
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column(1).slice(at, 512).to_pylist()
-                cut = [WORD.findall(t.lower()) for t in texts]
-                words = [x for d in cut for x in d]
-                starts = np.concatenate(([0], np.cumsum([len(d) for d in cut])[:-1])).astype(np.int64)
-                p = marginals(own, words, starts)
-                scores.append(own.score(evidence(p, starts, len(words))))
-                ends = np.append(starts[1:], len(words))
-                hot = np.unique(np.searchsorted(starts, np.flatnonzero(p > 0.5), side="right") - 1)
+            for texts, cut, p, starts in _tagged(own, batch.column(1)):
+                scores.append(own.score(evidence(p, starts, len(p))))
+                ends = np.append(starts[1:], len(p))
                 found: list[list] = [[] for _ in texts]
-                for d in hot.tolist():
+                for d in np.unique(np.searchsorted(starts, np.flatnonzero(p > 0.5), side="right") - 1).tolist():
                     found[d] = runs(texts[d], p[starts[d] : ends[d]] > 0.5)
                 spans += found
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.empty(0)), pa.array(spans, kind)], ["doc_id", "score", "spans"])
@@ -289,6 +282,35 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
+def reject(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 3000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score under the threshold. Nothing is shuffled."""
+    shared = _shared(id_text(docs, id_col, text_col), labels, label_col, max_fit_docs)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        own = Field(*shared.value)
+        for batch in batches:
+            scores = [own.score(evidence(p, starts, len(p))) for _, _, p, starts in _tagged(own, batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold if scores else np.empty(0, bool)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _shared(rows: DataFrame, labels: DataFrame, label_col: str, max_fit_docs: int):
+    field = train(rows, labels, label_col, max_fit_docs)
+    return rows.sparkSession.sparkContext.broadcast((field.weights, field.trans, field.intercept, field.slopes))  # a fixed number of weights
+
+
+def _tagged(field: Field, texts: pa.Array):
+    """Texts, their words, the words' marginals and where each text's begin, a few hundred texts at a time."""
+    for at in range(0, len(texts), 512):
+        part = [t or "" for t in texts.slice(at, 512).to_pylist()]
+        cut = [WORD.findall(t.lower()) for t in part]
+        words = [x for d in cut for x in d]
+        starts = np.concatenate(([0], np.cumsum([len(d) for d in cut])[:-1])).astype(np.int64)
+        yield part, cut, marginals(field, words, starts), starts
+
+
 def runs(text: str, bad: np.ndarray) -> list[dict[str, int]]:
     """Character offsets of the runs of tagged words. (Lower case may lengthen a text, so words are matched in both.)"""
     low = text.lower()
