@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from ..kernel.fonts import WINANSI, widths
 from ..kernel.layout import ENTITIES
@@ -107,7 +108,7 @@ def shown_bytes(raw: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda x: F.when(x.isin(printable), F.chr(F.conv(x, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\x"), F.lower(x)))), "")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def adler32(raw: pd.Series) -> pd.Series:
     """The checksum of a zlib stream, in C over Arrow batches (an expression over single bytes would be interpreted)."""
     import zlib
@@ -115,7 +116,7 @@ def adler32(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else zlib.adler32(bytes(b)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def inflate(raw: pd.Series) -> pd.Series:
     """Inflated bytes; null for a stream that is bad or cut."""
     from ..kernel.errors import PdfError
