@@ -33,7 +33,7 @@ _markup = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|nofr
 _named = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w=-])hidden(?![\w=-])""", re.I)
 _digits = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 #: Elements that an opening tag of the key ends.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main".split())
 
 
@@ -140,7 +140,7 @@ def containers(page: str) -> tuple[list[tuple[Element, str]], dict[str, float]]:
         while x is not None and x.up is not None:
             if x.tag in CONTAINERS and x.path not in seen:
                 seen.add(x.path)
-                chars[x.path] = chars.get(x.path, 0.0) + worth * 0.9**depth
+                chars[x.path] = chars.get(x.path, 0.0) + worth * 0.8**depth
                 kinds[x.path] = x.tag
                 depth += 1
             x = x.up
