@@ -25,8 +25,11 @@ def real(f: float) -> bytes:
     return (s.rstrip("0").rstrip(".") if "." in s else s).encode()
 
 
+_special = re.compile(rb"[()\\\r\0]")
+
+
 def string(raw: bytes) -> bytes:
-    return b"(" + b"".join(_string_special.get(b, bytes((b,))) for b in raw) + b")"
+    return b"(" + _special.sub(lambda m: _string_special[m[0][0]], raw) + b")"
 
 
 def name(raw: bytes) -> bytes:

@@ -51,7 +51,7 @@ def glyph_char(name: str) -> str:
 
 def encode(text: str) -> bytes:
     """WinAnsi codes, a question mark for what has none."""
-    return bytes(WINANSI.get(c, 0x3F) for c in text)
+    return text.encode() if text.isascii() and text.isprintable() else bytes(WINANSI.get(c, 0x3F) for c in text)
 
 
 def widths(font: str) -> list[int]:
@@ -70,7 +70,7 @@ def string_width(font: str, text: str, size: float) -> float:
     if font not in _widths:
         _widths[font] = widths(font)
     table = _widths[font]
-    return sum(table[c] for c in encode(text)) / 1000 * size
+    return sum(map(table.__getitem__, encode(text))) / 1000 * size
 
 
 def styled(family: str, bold: bool, italic: bool) -> str:

@@ -13,9 +13,10 @@ SPACE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 _regular = rb"[^\0\t\n\f\r ()<>\[\]{}/%]"
-_skip = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)+")
-_shape = re.compile(
-    rb"(?P<real>[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]*))|(?P<integer>[+-]?[0-9]+)|/(?P<name>" + _regular + rb"*)|(?P<string>\()|(?P<pair><<|>>)|<(?P<hex>[^>]*)(?P<closed>>?)|(?P<one>[\[\]{}])|(?P<word>" + _regular + rb"+)|(?P<bad>.)",
+#: White space and comments, then one token: a string without escapes, a number (with a fraction), a name, a word, a bracket, a
+#: hexadecimal string, the beginning of any other string, or a byte that begins nothing.
+_token = re.compile(
+    rb"(?:[\0\t\n\f\r ]++|%[^\r\n]*+)*+(?:\(([^()\\\r]*)\)|([+-]?(?:[0-9]+(\.[0-9]*)?|\.[0-9]*))|/(" + _regular + rb"*)|(" + _regular + rb"+)|(<<|>>|[\[\]{}])|<([^>]*)>|(\()|(.))",
     re.S,
 )
 _in_string = re.compile(rb"[()]|\\(?:\r\n|.)?", re.S)
@@ -75,42 +76,50 @@ def string_end(data: bytes, at: int) -> int:
     return -1
 
 
+def scan(data: bytes, at: int, max_literal: int = 1 << 26) -> tuple[int, str, bytes, int]:
+    """(pos, kind, literal, end) of the token at or after ``at``."""
+    m = _token.match(data, at)
+    if m is None:
+        return len(data), "EOF", b"", len(data)
+    g = m.lastindex
+    raw, pos, end = m[g], m.start(g), m.end()
+    if len(raw) > max_literal and g != 6:
+        return pos - (g in (1, 4, 7)), "illegal", b"", end
+    if g == 2:
+        # A lone point is a number that has no value.
+        return pos, "real" if m[3] is not None or b"." in raw else "integer", raw, end
+    if g == 5:
+        if raw[0] in b"+-":  # a sign without digits
+            return pos, "illegal", raw[:1], pos + 1
+        return pos, raw.decode() if raw in KEYWORDS else "identifier", raw, end
+    if g == 1:
+        return pos - 1, "string", raw, end
+    if g == 4:
+        value = raw if b"#" not in raw else unescape_name(raw)
+        return pos - 1, "illegal" if value is None else "name", value or b"", end
+    if g == 6:
+        return pos, raw.decode(), raw, end
+    if g == 7:
+        value = unescape_hex(raw)
+        return pos - 1, "illegal" if value is None else "hexstring", value or b"", end
+    if g == 8:
+        end = string_end(data, pos + 1)
+        if end < 0 or end - pos - 2 > max_literal:
+            return pos, "illegal", b"", len(data) if end < 0 else end
+        return pos, "string", unescape_string(data[pos + 1 : end - 1]), end
+    return pos, "illegal", raw, end
+
+
 def token(data: bytes, at: int = 0, max_literal: int = 1 << 26) -> Token:
     """The token at or after ``at``."""
-    if m := _skip.match(data, at):
-        at = m.end()
-    if at >= len(data):
-        return Token(len(data), "EOF", b"", len(data))
-    m = _shape.match(data, at)
-    kind, end = m.lastgroup, m.end()
-    if kind == "string":
-        end = string_end(data, at + 1)
-        if end < 0 or end - at - 2 > max_literal:
-            return Token(at, "illegal", b"", len(data) if end < 0 else end)
-        return Token(at, "string", unescape_string(data[at + 1 : end - 1]), end)
-    if kind == "closed":
-        value = unescape_hex(m["hex"]) if m["closed"] and len(m["hex"]) <= max_literal else None
-        return Token(at, "illegal" if value is None else "hexstring", value or b"", end)
-    if kind in ("integer", "real"):
-        # A sign without digits is no number; a lone point is one that has no value.
-        return Token(at, kind, m[0], end) if len(m[0]) <= max_literal else Token(at, "illegal", b"", end)
-    if kind == "name":
-        value = unescape_name(m["name"]) if len(m["name"]) <= max_literal else None
-        return Token(at, "illegal" if value is None else "name", value or b"", end)
-    if kind in ("pair", "one"):
-        return Token(at, m[0].decode(), m[0], end)
-    if kind == "word":
-        if m[0][:1] in b"+-":
-            return Token(at, "illegal", m[0][:1], at + 1)
-        return Token(at, m[0].decode() if m[0] in KEYWORDS else "identifier", m[0], end)
-    return Token(at, "illegal", m[0], end)
+    return Token(*scan(data, at, max_literal))
 
 
 def tokens(data: bytes, at: int = 0, limit: int | None = None, max_literal: int = 1 << 26) -> Iterator[Token]:
     """Tokens from ``at`` to the end of the data, which is the last of them."""
     n = 0
     while limit is None or n < limit:
-        t = token(data, at, max_literal)
+        t = Token(*scan(data, at, max_literal))
         yield t
         if t.kind == "EOF":
             return

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from .errors import ILLEGAL_TOKEN, PdfError
 from .fonts import glyph_char
-from .lexer import tokens
+from .lexer import scan, tokens
 from .objects import NULL, Document, Value
 
 
@@ -142,26 +142,27 @@ def page_fonts(doc: Document, page: Value) -> dict[bytes, Font]:
 
 def show_text(content: bytes, fonts: dict[bytes, Font]) -> bytes:
     """The strings that text operators show, decoded by the font in force, in drawing order; ET ends a line."""
-    out, strings, last_name, font = [], [], b"", None
-    for t in tokens(content):
-        if t.kind == "illegal":
-            raise PdfError(ILLEGAL_TOKEN, t.pos)
-        if t.kind in ("string", "hexstring"):
-            strings.append(t.literal)
-        elif t.kind == "name":
-            last_name = t.literal
-        elif t.kind == "identifier":
-            op = t.literal
-            if op == b"Tf":
+    out, strings, last_name, font, at = [], [], b"", None, 0
+    while True:
+        pos, kind, literal, at = scan(content, at)
+        if kind in ("string", "hexstring"):
+            strings.append(literal)
+        elif kind == "identifier":
+            if literal == b"Tf":
                 font = fonts.get(last_name)
-            elif op in (b"Tj", b"'", b'"'):
-                out += [font.decode(s) if font else s for s in strings[-1:]]
-            elif op == b"TJ":
+            elif literal in (b"Tj", b"'", b'"'):
+                out += [font.decode(s) if font and (font.codes or font.width > 1) else s for s in strings[-1:]]
+            elif literal == b"TJ":
                 out += [font.decode(s) if font else s for s in strings]
-            elif op == b"ET":
+            elif literal == b"ET":
                 out.append(b"\n")
             strings = []
-    return b"".join(out)
+        elif kind == "name":
+            last_name = literal
+        elif kind == "illegal":
+            raise PdfError(ILLEGAL_TOKEN, pos)
+        elif kind == "EOF":
+            return b"".join(out)
 
 
 def page_text(doc: Document, page: Value) -> bytes:

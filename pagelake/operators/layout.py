@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spread import spread
+
 
 def row_heights(cells: DataFrame, keys: list[str], height: Column) -> DataFrame:
     return cells.groupBy(*keys).agg(F.max(height).alias("row_height"))
@@ -71,7 +73,7 @@ def wrap_text(rows: DataFrame, key: str, text: str, width: float, font: str = "H
                     out.append("".join((" " if j and not a.glue else "") + a.word for j, a in enumerate(line.atoms)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), pa.array(n, pa.int32()), pa.array(out, pa.string())], [key, "line", "text"])
 
-    return rows.select(key, F.col(text).alias("text")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, line int, text string")
+    return spread(rows.select(key, F.col(text).alias("text"))).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, line int, text string")
 
 
 def build_documents(rows: DataFrame, key: str, text: str, font: str = "Helvetica", size: float = 10, plain: bool = True) -> DataFrame:
@@ -87,4 +89,4 @@ def build_documents(rows: DataFrame, key: str, text: str, font: str = "Helvetica
                 made = [Doc().build([Paragraph(p, style, plain) for p in (t or "").split("\n")]) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
-    return rows.select(F.col(key).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(run, "path string, content binary")
+    return spread(rows.select(F.col(key).cast("string").alias("path"), F.col(text).alias("text"))).mapInArrow(run, "path string, content binary")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spread import spread
+
+
+_space = re.compile("[ \\t\\n\\r\\x0b\\f]+")
+
 
 def _built(rows: DataFrame, columns: list[str], make) -> DataFrame:
     """path, content by ``make(*columns)`` of each row; ``path`` is the first column as text."""
@@ -17,7 +24,7 @@ def _built(rows: DataFrame, columns: list[str], make) -> DataFrame:
                 made = [make(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
-    return rows.select(F.col(columns[0]).cast("string").alias("path"), *columns).mapInArrow(run, "path string, content binary")
+    return spread(rows.select(F.col(columns[0]).cast("string").alias("path"), *columns)).mapInArrow(run, "path string, content binary")
 
 
 def word_page(text: str | None, compress: bool = False, updates: int = 0) -> bytes:
@@ -27,7 +34,7 @@ def word_page(text: str | None, compress: bool = False, updates: int = 0) -> byt
     from ..kernel.emit import Name, Ref, Writer, string
     from ..kernel.fonts import encode
 
-    body = b"".join(b"BT /F1 10 Tf 0 0 Td " + string(encode(w)) + b" Tj ET\n" for w in (text or "").split())
+    body = b"".join(b"BT /F1 10 Tf 0 0 Td " + string(encode(w)) + b" Tj ET\n" for w in _space.split(text or "") if w)
     w = Writer()
     content = w.stream(zlib.compress(body), {"Filter": Name("FlateDecode")}) if compress else w.stream(body)
     font = w.object({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")})
