@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
     """Writes ``df`` to the shared folder and returns it as read back: its lineage ends here and lost executors cost nothing before it.
 
-    ``gather``: rows are few or short, so they are dealt to two files a core instead of one for each partition.
+    ``gather``: rows are few or short, so the last stage runs as two tasks a core at most, each of which writes one file.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.repartition(2 * spark.sparkContext.defaultParallelism) if gather else df).write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if gather else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,8 @@ Classes are the connected components of links, the least id naming each:
 1. Texts with the same words form one group; only the group's least row goes on, so copies make no pairs.
 2. Each group is verified against one other: of those that are first in buckets it is in, the one it shares most buckets with.
    Whole families of near copies become one component here, with one pair for each member.
-3. What still stands apart in a bucket is compared for good: the buckets' remaining components, in blocks of bounded
-   size, by all sketches' minima at once; pairs likely to be similar are verified and join components.
+3. What still stands apart in a bucket is compared with all else there, in blocks of bounded size: a member of each component, by
+   all sketches' minima at once. Pairs of which enough are equal are verified there and join components.
 
 Defined cases: null and empty texts, and texts without words, are a class together (as copies of the empty text); texts under five
 words have one shingle; rows that repeat an id are one document if their words are equal, and
@@ -35,7 +35,9 @@ from .components import components
 WORD = re.compile(r"\w+")
 SKETCHES, MINIMA, SIMILARITY = 32, 3, 0.8
 #: Documents of one bucket that are compared in a task with as many others, and the share of equal minima from which a pair is aligned.
-BLOCK, LIKELY = 256, 0.15
+BLOCK, LIKELY = 256, 0.45
+#: Edits that the narrow band allows at first.
+BAND = 32
 _seeds = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -78,8 +80,9 @@ def sketch(words: np.ndarray, minima: int = MINIMA) -> tuple[np.ndarray, np.ndar
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two word sequences if it is at most ``most``, else ``most + 1``.
 
-    Works on the furthest word that each diagonal of the band reaches with a number of edits; runs of equal words on
-    a diagonal are skipped at once, by a table of where each diagonal's next difference is. The band grows fourfold as needed.
+    First inside a narrow band of diagonals: the furthest word that each reaches with a number of edits, where runs of equal words
+    are skipped at once by a table of where the diagonal's next difference is. Near copies end there. What needs a wider band
+    is aligned by columns of bits, one big integer for a column, until ``most`` can't be kept.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
@@ -98,12 +101,33 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return n + m
     if max(n, m) - _common(a, b) > most:
         return most + 1
-    band = min(most, max(16, 2 * abs(n - m)))
-    while True:
+    band = min(most, max(BAND, abs(n - m)))
+    if (2 * band + 1) * n <= 4_000_000:
         d = _banded(a, b, band)
         if d <= band or band == most:
             return min(d, most + 1)
-        band = min(most, 4 * band)
+    return _by_columns(a, b, most)
+
+
+def _by_columns(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    n = len(a)
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    at: dict[int, int] = {}
+    for k, w in enumerate(a.tolist()):
+        at[w] = at.get(w, 0) | 1 << k
+    more, less, score = full, 0, n  # where a column rises and falls from its top down; its lowest value
+    for left, w in zip(range(len(b) - 1, -1, -1), b.tolist(), strict=True):
+        same = at.get(w, 0) | less
+        diagonal = ((((same & more) + more) ^ more) | same) & full
+        up, down = less | (full & ~(more | diagonal)), more & diagonal
+        score += bool(up & last) - bool(down & last)
+        if score - left > most:
+            return most + 1
+        up = (up << 1 | 1) & full
+        less, more = up & diagonal, (down << 1 | (full & ~(up | diagonal))) & full
+    return min(score, most + 1)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -115,19 +139,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     n, m = len(a), len(b)
     diagonals = np.arange(-band, band + 1)  # of b's place less a's
-    width, rows = len(diagonals), n + 1
-    if width * rows <= 4_000_000:
-        padded = np.concatenate((np.zeros(band, np.uint64), b, np.zeros(band + n + 1, np.uint64)))
-        view = np.lib.stride_tricks.sliding_window_view(padded, n)[:width]  # row k: b along diagonal k - band
-        column = np.arange(n)[None, :] + diagonals[:, None]
-        stop = np.where((view == a[None, :]) & (column >= 0) & (column < m), n, np.arange(n)[None, :]).astype(np.int32)
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-        stop = np.concatenate((stop, np.full((width, 1), n, np.int32)), axis=1)
-        slide = lambda at: stop[np.arange(width), np.clip(at, 0, n)]
-    else:
-        slide = _by_hash(a, b, diagonals)
+    width = len(diagonals)
+    padded = np.concatenate((np.zeros(band, np.uint64), b, np.zeros(band + n + 1, np.uint64)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, n)[:width]  # row k: b along diagonal k - band
+    column = np.arange(n)[None, :] + diagonals[:, None]
+    stop = np.where((view == a[None, :]) & (column >= 0) & (column < m), n, np.arange(n)[None, :]).astype(np.int32)
+    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
+    stop = np.concatenate((stop, np.full((width, 1), n, np.int32)), axis=1)
+    slide = lambda at: stop[np.arange(width), np.clip(at, 0, n)]
     far = np.full(width + 2, -1, dtype=np.int64)  # place in a that each diagonal reaches; -1: none yet
-    far[band + 1] = slide(np.where(diagonals == 0, 0, 0))[band]
+    far[band + 1] = slide(np.zeros(width, np.int64))[band]
     goal = m - n + band + 1
     limit_b = m - diagonals
     for d in range(band + 1):
@@ -143,32 +164,6 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return band + 1
 
 
-def _by_hash(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray):
-    """The same slide for texts too long for a table: prefix hashes and a binary search for the first difference."""
-    base = 0x9E3779B97F4A7C15
-    def prefix(x):
-        powers = np.cumprod(np.append(np.uint64(1), np.full(len(x), np.uint64(base))))
-        return np.append(np.uint64(0), np.cumsum(mix64(x) * powers[:-1])), powers
-    (pa_, wa), (pb, wb) = prefix(a), prefix(b)
-    n, m = len(a), len(b)
-    powers = wa if n >= m else wb
-
-    def slide(at):
-        at = np.clip(at, 0, n)
-        start = at + diagonals
-        ok = (start >= 0) & (start <= m)
-        start = np.clip(start, 0, m)
-        lo, hi = np.zeros(len(at), np.int64), np.where(ok, np.minimum(n - at, m - start), 0)
-        shift_a, shift_b = powers[np.maximum(start - at, 0)], powers[np.maximum(at - start, 0)]
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = (pa_[at + mid] - pa_[at]) * shift_a == (pb[start + mid] - pb[start]) * shift_b
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return at + lo
-
-    return slide
-
-
 def _word_hashes(text: str, hasher: WordHasher) -> np.ndarray:
     return hasher(WORD.findall(text.lower()))
 
@@ -224,32 +219,75 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(align, f"a {kind}, b {kind}")
 
 
-def blocks(members: DataFrame, likely: float = LIKELY) -> DataFrame:
-    """Likely pairs (a, b) of ``members`` (bucket, doc_id, root, least): those of different roots in a bucket whose minima agree often enough.
+def apart(company: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, doc_id, root, single (no family): of each bucket that holds several components, one member of each, another one in each bucket (by a hash).
 
-    A bucket of several roots is dealt into blocks of about BLOCK members, by a hash; each pair of blocks is one group. A member
-    of a bucket of B goes to B / BLOCK groups, no group holds more than a few hundred rows, and pairs are never rows before they are likely.
+    A component is a family of near copies, and comes up in many buckets with other members, so it is as well met by them as by all.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    dealt = members.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("bucket", "doc_id", "root", "least", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "doc_id", "root", "least", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.frombuffer(b"".join(pdf["least"]), np.uint32).reshape(len(pdf), -1)
-        ids, roots, own = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy(), pdf["own"].to_numpy()
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        out = []
+    own = company.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("single", F.col("root").isNull()).withColumn("root", F.coalesce("root", "doc_id"))
+    one = own.groupBy("bucket", "root").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("doc_id"), F.first("single").alias("single"))
+    several = one.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return one.join(several, "bucket")
+
+
+def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, keys, least), found in blocks.
+
+    Texts come along, so a pair is verified where it is met and never is a row: only links come out, and no more than join what was
+    apart in the block. Two that have no family meet in the first bucket that they share and not again.
+    """
+    ids = stored(members.select("doc_id").distinct(), "ids")
+    held = stored(texts.join(small(ids), "doc_id").select("doc_id", "text"), "texts")
+    dealt = dealt_blocks(members).join(held, "doc_id")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        hasher, n = WordHasher(), len(pdf)
+        least = np.frombuffer(b"".join(pdf["least"]), np.uint32).reshape(n, -1)
+        keys, ids, own = np.stack(list(pdf["keys"])), pdf["doc_id"].tolist(), pdf["own"].to_numpy()
+        x, y, bucket = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), int(pdf["bucket"].iloc[0])
+        which = int(np.flatnonzero(keys[0] == bucket)[0])
+        text, words, single = pdf["text"].tolist(), {}, pdf["single"].to_numpy()
+        roots = pdf["root"].tolist()
+        up = {r: r for r in roots}
+
+        def top(r):
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        def of(k):
+            if k not in words:
+                words[k] = _word_hashes(text[k], hasher)
+            return words[k]
+
+        size = np.array([len(t) for t in text])
+        out, right = [], np.flatnonzero(own == y)
         for i in np.flatnonzero(own == x).tolist():
-            j = np.flatnonzero((own == y) & (roots != roots[i]) & ((ids > ids[i]) if x == y else True))
-            if len(j):
-                j = j[(m[j] == m[i]).mean(axis=1) >= likely]
-                out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j.tolist()]
+            j = right[right > i] if x == y else right
+            j = j[(least[j] == least[i]).mean(axis=1) >= LIKELY] if len(j) else j
+            if which and len(j):
+                j = j[~((keys[j, :which] == keys[i, :which]).any(axis=1) & single[j] & single[i])]
+            for k in j[np.argsort(np.abs(size[j] - size[i]), kind="stable")].tolist():
+                if top(roots[i]) != top(roots[k]):
+                    a, b = of(i), of(k)
+                    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+                    if edits(a, b, most) <= most:
+                        up[top(roots[i])] = top(roots[k])
+                        out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype(pdf["doc_id"].dtype)
 
     kind = members.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("bucket", "x", "y").applyInPandas(verify, f"a {kind}, b {kind}").distinct()
+
+
+def dealt_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``members`` dealt into pairs of blocks (x, y) of their buckets, about ``block`` members each by a hash (``own``). A member of a bucket of B
+    goes to B / block groups, and no group holds many more than two blocks."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "other")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,13 +305,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     partner = shared.filter("first <> doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a"))
     links = stored(verified(partner.select("a", F.col("doc_id").alias("b")), texts, similarity), "links")
     roots = components(links)
-    # The rest: one member for each root in a bucket, compared with the bucket's other roots.
-    company = shared.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    apart = company.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    members = stored(company.join(apart, "bucket").join(heads.select("doc_id", "least"), "doc_id"), "members")
-    likely = stored(blocks(members), "likely")
-    done = partner.select("a", F.col("doc_id").alias("b"))
-    more = stored(verified(likely.join(done, ["a", "b"], "left_anti"), texts, similarity), "links")
+    members = stored(apart(shared.select("bucket", "doc_id"), roots).join(heads.select("doc_id", "keys", "least"), "doc_id"), "members")
+    more = stored(_met(members, texts, similarity), "links")
     roots = components(links.unionByName(more))
     out = copies.join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")
     return out.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
