@@ -43,6 +43,10 @@ class Limits:
     tail: int = 8192
 
 
+#: What makes a reference of the number before it.
+_reference = re.compile(rb"[\0\t\n\f\r ]+\+?([0-9]+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
+
+
 class Parser:
     """Reads values; ``at`` is past what it has read."""
 
@@ -61,10 +65,15 @@ class Parser:
             if not -(1 << 63) <= n < 1 << 63:
                 raise PdfError("integer overflow", t.pos)
             if 0 < n < 1 << 32:
-                gen = token(self.data, t.end)
-                if gen.kind == "integer" and 0 <= int(gen.literal) < 1 << 16 and (r := token(self.data, gen.end)).kind == "R":
-                    self.at = r.end
-                    return Value("ref", (n, int(gen.literal)), t.pos, r.end)
+                if m := _reference.match(self.data, t.end):
+                    if int(m[1]) < 1 << 16:
+                        self.at = m.end()
+                        return Value("ref", (n, int(m[1])), t.pos, m.end())
+                elif b"%" in self.data[t.end : t.end + 64]:  # a comment may stand between
+                    gen = token(self.data, t.end)
+                    if gen.kind == "integer" and 0 <= int(gen.literal) < 1 << 16 and (r := token(self.data, gen.end)).kind == "R":
+                        self.at = r.end
+                        return Value("ref", (n, int(gen.literal)), t.pos, r.end)
             return Value("int", n, t.pos, t.end)
         if t.kind == "real":
             try:
@@ -284,7 +293,10 @@ class Document:
 
     def resolve(self, num: int, gen: int | None = None) -> Value:
         """The object's value; a free number's is null."""
-        e = self.lookup(num)
+        return self.at(self.lookup(num), gen)
+
+    def at(self, e: Entry, gen: int | None = None) -> Value:
+        """The value of the object that a record points to."""
         if e.kind == "free":
             return NULL
         if e.kind == "compressed":
@@ -293,7 +305,7 @@ class Document:
         if e.off >= len(self.data):
             raise PdfError(E.OOB_XREF, e.off)
         n, g, v = self._object_at(e.off)
-        if n != num or gen is not None and g != gen:
+        if n != e.num or gen is not None and g != gen:
             raise PdfError(E.ID_MISMATCH, e.off)
         return v
 

@@ -62,7 +62,7 @@ def live(doc: Document) -> Iterator[tuple]:
             if e.kind == "free":
                 continue
             try:
-                yield e, doc.resolve(e.num), None
+                yield e, doc.at(e), None
             except PdfError as x:
                 yield e, NULL, x.text
 

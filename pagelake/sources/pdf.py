@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..kernel.lexer import scan as lex
 from ..kernel.objects import Limits
 from ..kernel.rows import rows
 from ..tables import SCHEMAS
@@ -44,7 +45,31 @@ def scan(docs: DataFrame, table: str, limits: Limits = Limits(), nums: list[int]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return docs.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
+    def run_tokens(batches):  # many short rows: columns are filled, not rows
+        off, left = options.get("off", 0), options.get("limit")
+        for batch in batches:
+            path, at, kinds, literals, order = [], [], [], [], []
+
+            def made():
+                return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(order, pa.int32()), pa.array(at, pa.int64()), pa.array(kinds, pa.string()), pa.array(literals, pa.binary())], schema=arrow)
+
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, end, kind = 0, off, ""
+                while content is not None and kind != "EOF" and (left is None or n < left):
+                    pos, kind, literal, end = lex(content, end, limits.literal)
+                    at.append(pos)
+                    kinds.append(kind)
+                    literals.append(literal)
+                    n += 1
+                path += [name] * n
+                order += range(n)
+                if len(path) >= 50_000:
+                    yield made()
+                    path, at, kinds, literals, order = [], [], [], [], []
+            if path:
+                yield made()
+
+    return docs.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run_tokens if table == "token" else run, schema)
 
 
 class Documents:
