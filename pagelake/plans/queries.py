@@ -201,12 +201,13 @@ def png_up_unfilter(spark, d):
     return filtered.select("vec_id", "k", (F.sum("delta").over(down) % 256).alias("byte"))
 
 
-@query("""SELECT doc_id, ((1 + list_sum(b)) % 65521) + 65536 * ((len(b) + list_sum(list_transform(range(1, len(b) + 1), lambda i: (len(b) - i + 1) * b[i]))) % 65521) AS adler
-FROM (SELECT doc_id, list_transform(range(0, octet_length(encode(text))), lambda i: (instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 2, 1)) - 1) AS b FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 400)""")
+_DIGIT = "instr('0123456789ABCDEF', h[{0}]) - 1"
+
+
+@query(f"""SELECT doc_id, ((1 + coalesce(list_sum(b), 0)) % 65521) + 65536 * ((len(b) + coalesce(list_sum(list_transform(range(1, len(b) + 1), lambda i: (len(b) - i + 1) * b[i])), 0)) % 65521) AS adler
+FROM (SELECT doc_id, list_transform(range(0, len(h) // 2), lambda i: ({_DIGIT.format('2 * i + 1')}) * 16 + {_DIGIT.format('2 * i + 2')}) AS b FROM (SELECT doc_id, string_split(hex(encode(text)), '') AS h FROM documents))""")
 def adler32(spark, d):
-    """Texts of up to 400 bytes: beyond, the oracle's byte list takes the square of the length."""
-    docs = t(spark, d, "documents").filter(F.octet_length("text").between(1, 400))
-    return docs.select("doc_id", S.adler32(F.encode("text", "UTF-8")).alias("adler"))
+    return t(spark, d, "documents").select("doc_id", S.adler32(F.encode("text", "UTF-8")).alias("adler"))
 
 
 @query("SELECT o_orderpriority AS doc, min(k) AS first_obj, count(*) AS cnt FROM (SELECT o_orderpriority, k, k - row_number() OVER (PARTITION BY o_orderpriority ORDER BY k) AS i FROM (SELECT DISTINCT o_orderpriority, o_custkey AS k FROM orders)) GROUP BY o_orderpriority, i")
@@ -293,10 +294,9 @@ def hex_string(spark, d):
 
 
 @query(f"""SELECT doc_id, CASE WHEN regexp_matches(s, '[^\\x00-\\x7f]') THEN '<feff' || array_to_string(list_transform(string_split(s, ''), lambda c: printf('%04x', unicode(c))), '') || '>' ELSE {_LITERAL.format('s')} END AS string
-FROM (SELECT doc_id, substr(text, 1, 200) AS s FROM documents)""")
+FROM (SELECT doc_id, text AS s FROM documents)""")
 def text_string(spark, d):
-    """Titles: the first 200 characters of each text."""
-    return t(spark, d, "documents").select("doc_id", S.text_string(F.substring("text", 1, 200)).alias("string"))
+    return t(spark, d, "documents").select("doc_id", S.text_string(F.col("text")).alias("string"))
 
 
 @query("""SELECT p_partkey, '/' || array_to_string(list_transform(string_split(p_name || '#(' || p_type, ''), lambda c: CASE WHEN c IN ('#', '/', '%', '(', ')', '<', '>', '[', ']', '{', '}', ' ') THEN '#' || hex(c) ELSE c END), '') AS name FROM part""")
