@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,15 +161,19 @@ class Field:
         return 1 / (1 + np.exp(-(self.intercept + found @ self.slopes)))
 
 
-def guess(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words much commoner in toxic documents than in clean ones, by themselves or by one of their beginnings."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    seen = (Counter(), Counter())
-    for words, y in zip(docs, toxic, strict=True):
-        own = set(words)
-        seen[int(y)].update({"w:" + x for x in own} | {f"p{k}:{x[:k]}" for x in own for k in (4, 5, 6) if len(x) > k})
-    sure = {x for x, c in seen[1].items() if c >= max(3, n1 // 400) and c / n1 >= (12 if x[0] == "w" else 8) * (seen[0][x] + 0.5) / n0}
-    return {x for words, y in zip(docs, toxic, strict=True) if y for x in words if "w:" + x in sure or any(f"p{k}:{x[:k]}" in sure for k in (4, 5, 6) if len(x) > k)}
+def guess(ids: list[np.ndarray], toxic: np.ndarray, names: list[str]) -> np.ndarray:
+    """Whether each word is much commoner in toxic documents than in clean ones, by itself or by one of its beginnings."""
+    begins: dict[str, int] = {"": 0}  # 0: too short to have one
+    begin = np.array([[begins.setdefault(f"{k}:{w[:k]}", len(begins)) if len(w) > k else 0 for k in (4, 5, 6)] for w in names], dtype=np.int32).reshape(-1, 3)
+    n, words, starts = [max(1, int((toxic == y).sum())) for y in (0, 1)], np.zeros((2, len(names))), np.zeros((2, len(begins)))
+    for own, y in zip(ids, toxic.astype(int), strict=True):
+        u = np.unique(own)
+        words[y, u] += 1
+        starts[y, np.unique(begin[u])] += 1
+    sure = lambda c, times: (c[1] >= max(3, n[1] // 400)) & (c[1] / n[1] >= times * (c[0] + 0.5) / n[0])
+    by_start = sure(starts, 8)
+    by_start[0] = False
+    return sure(words, 12) | by_start[begin].any(axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[float, np.ndarray]:
@@ -191,33 +195,35 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds:
     if len(toxic) == 0 or toxic.all() or not toxic.any():
         p = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6)) if len(toxic) else 1e-6
         return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), float(np.log(p / (1 - p))), np.zeros(4))
-    docs = [WORD.findall(t.lower()) for t in texts]
+    kinds: dict[str, int] = {}
+    ids = [np.array([kinds.setdefault(x, len(kinds)) for x in WORD.findall(t.lower())], dtype=np.int32) for t in texts]
     part = np.array([zlib.crc32(t.encode()) % 3 != 0 for t in texts])  # two thirds fit the field; equal texts stay together
     if not (toxic & part).any() or not (~toxic & part).any() or not (toxic & ~part).any() or not (~toxic & ~part).any():
         part[:] = True
-    own = [d for d, u in zip(docs, part, strict=True) if u]
-    bad = guess(own, toxic[part])
-    kinds: dict[str, int] = {}
-    tokens = np.array([kinds.setdefault(x, len(kinds)) for d in own for x in d], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum([len(d) for d in own])[:-1])).astype(np.int64)
+    names = list(kinds)
+    own = [d for d, u in zip(ids, part, strict=True) if u]
+    mark = guess(own, toxic[part], names)
+    row, col = array("i"), array("i")
+    for k, x in enumerate(names):
+        places = features(x)
+        row.extend([k] * len(places))
+        col.extend(places)
+    row, col = np.frombuffer(row, np.int32), np.frombuffer(col, np.int32)
+    tokens, starts = _joined(own)
     in_toxic = np.repeat(toxic[part], [len(d) for d in own])
     weight = np.where(in_toxic, 1.0, clean_weight)
-    places = [features(x) for x in kinds]
-    row, col = np.repeat(np.arange(len(kinds)), [len(f) for f in places]), np.array([i for f in places for i in f])
-    mark = np.zeros(len(kinds), dtype=bool)
-    mark[[kinds[x] for x in bad if x in kinds]] = True
     label = mark[tokens] & in_toxic
     weights, trans = np.zeros(1 << BITS), np.array([[0.0, -3.0], [0.0, -3.0]])
     for turn in range(2):
         s_w, s_t = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
         inner = np.ones(len(tokens), dtype=bool)
-        inner[starts[starts < len(tokens)]] = False
+        inner[starts] = False
         before = np.where(inner, np.append(False, label[:-1]), False)
         true_pairs = np.bincount(2 * before + label, weight, minlength=4).reshape(2, 2).astype(float)
         for _ in range(rounds):
-            e = np.bincount(row, weights[col], len(kinds))[tokens]
+            e = np.bincount(row, weights[col], len(names))[tokens]
             p, pairs = forward_backward(e, starts, trans, weight)
-            g_kind = np.bincount(tokens, weight * (label - p), len(kinds))
+            g_kind = np.bincount(tokens, weight * (label - p), len(names))
             g = np.bincount(col, g_kind[row], 1 << BITS) - decay * weights
             g_t = true_pairs - pairs - decay * trans
             s_w += g * g
@@ -225,20 +231,23 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds:
             weights += 0.5 * g / np.sqrt(s_w)
             trans += 0.2 * g_t / np.sqrt(s_t)
         if turn == 0:
-            p, _ = forward_backward(np.bincount(row, weights[col], len(kinds))[tokens], starts, trans)
+            p, _ = forward_backward(np.bincount(row, weights[col], len(names))[tokens], starts, trans)
             label |= in_toxic & (p > 0.5)
     out = Field(weights.astype(np.float32), trans, 0.0, np.zeros(4))
-    rest = [d for d, u in zip(docs, part, strict=True) if not u] or own
-    y = toxic[~part] if len(rest) != len(own) or not part.all() else toxic
-    out.intercept, out.slopes = logistic(_evidence(out, rest), y.astype(float), np.where(y, 1.0, clean_weight))
+    calm = ~part if not part.all() else part
+    tokens, starts = _joined(rest := [d for d, u in zip(ids, calm, strict=True) if u])
+    p, _ = forward_backward(np.bincount(row, out.weights[col], len(names))[tokens], starts, trans)
+    filled = np.array([len(d) > 0 for d in rest])
+    found = np.zeros((len(rest), 4))
+    found[filled] = evidence(p, starts, len(tokens))
+    out.intercept, out.slopes = logistic(found, toxic[calm].astype(float), np.where(toxic[calm], 1.0, clean_weight))
     return out
 
 
-def _evidence(field: Field, docs: list[list[str]]) -> np.ndarray:
-    words = [x for d in docs for x in d]
-    starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1])).astype(np.int64)
-    p = marginals(field, words, starts)
-    return evidence(p, starts, len(words))
+def _joined(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' words in a row, and where each document that has any begins."""
+    sizes = np.array([len(d) for d in ids], dtype=np.int64)
+    return np.concatenate([*ids, np.empty(0, np.int32)]), (np.cumsum(sizes) - sizes)[sizes > 0]
 
 
 def marginals(field: Field, words: list[str], starts: np.ndarray) -> np.ndarray:
@@ -246,19 +255,29 @@ def marginals(field: Field, words: list[str], starts: np.ndarray) -> np.ndarray:
     return forward_backward(field.scores(words), starts[keep], field.trans)[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_docs: int = 3000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_docs: int = 2500) -> Field:
     """``docs``: doc_id, text. Held-out ids are not read."""
     known = labels.filter(~held_out()).select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
     pick = lambda y: known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
     chosen = pick(1).unionByName(pick(0))  # so few that the texts are the only large side
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label").collect()
-    y = np.array([r["label"] for r in rows], dtype=bool)
-    share = [count.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)]
-    return fit([r["text"] for r in rows], y, share[0] / share[1] if share[0] and share[1] else 1.0)
+    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+
+    def run(batches):
+        rows = sorted((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        y = np.array([r[1] for r in rows], dtype=bool)
+        share = [count.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)]
+        made = fit([r[0] for r in rows], y, share[0] / share[1] if all(share) else 1.0)
+        yield pa.RecordBatch.from_pydict({"weights": [made.weights.tobytes()], "trans": [made.trans.ravel().tolist()], "intercept": [made.intercept], "slopes": [made.slopes.tolist()]})
+
+    # One task fits; only weights, as many as the table has places, come to the driver.
+    got = sample.repartition(1).mapInArrow(run, "weights binary, trans array<double>, intercept double, slopes array<double>").collect()
+    if not got:
+        return fit([], np.empty(0, bool))
+    return Field(np.frombuffer(bytes(got[0]["weights"]), np.float32), np.array(got[0]["trans"]).reshape(2, 2), got[0]["intercept"], np.array(got[0]["slopes"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 2500) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start and end of each toxic run, in characters) of every row."""
     rows = id_text(docs, id_col, text_col)
     shared = _shared(rows, labels, label_col, max_fit_docs)
@@ -282,7 +301,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
-def reject(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 3000) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 2500) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score under the threshold. Nothing is shuffled."""
     shared = _shared(id_text(docs, id_col, text_col), labels, label_col, max_fit_docs)
     at = docs.columns.index(text_col)
