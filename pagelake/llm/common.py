@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys in sorted batches, each as one batch. (Groups of two or three rows by the hundred thousand cost too much as frames of their own.)"""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            x = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        cut = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(cut, cut[1:], strict=False):
+            yield batch.slice(a, b - a)
+        held = batch.slice(cut[-1])
+    if held is not None:
+        yield held
+
+
 class WordHasher:
     """64-bit hashes of words, remembered up to a bound; what is forgotten is hashed again."""
 

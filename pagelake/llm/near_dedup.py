@@ -24,12 +24,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, id_text, mix64, shingles, small, stored
+from .common import WordHasher, id_text, mix64, runs_of, shingles, small, stored
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -240,14 +239,14 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     held = stored(texts.join(small(ids), "doc_id").select("doc_id", "text"), "texts")
     dealt = dealt_blocks(members).join(held, "doc_id")
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        hasher, n = WordHasher(), len(pdf)
-        least = np.frombuffer(b"".join(pdf["least"]), np.uint32).reshape(n, -1)
-        keys, ids, own = np.stack(list(pdf["keys"])), pdf["doc_id"].tolist(), pdf["own"].to_numpy()
-        x, y, bucket = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), int(pdf["bucket"].iloc[0])
+    def links(group: pa.RecordBatch, hasher: WordHasher) -> list[tuple]:
+        n = group.num_rows
+        least = np.frombuffer(b"".join(group.column("least").to_pylist()), np.uint32).reshape(n, -1)
+        keys = group.column("keys").flatten().to_numpy().reshape(n, -1)
+        ids, own, single = group.column("doc_id").to_pylist(), group.column("own").to_numpy(), group.column("single").to_numpy(zero_copy_only=False)
+        x, y, bucket = (group.column(c)[0].as_py() for c in ("x", "y", "bucket"))
         which = int(np.flatnonzero(keys[0] == bucket)[0])
-        text, words, single = pdf["text"].tolist(), {}, pdf["single"].to_numpy()
-        roots = pdf["root"].tolist()
+        text, words, roots = group.column("text").to_pylist(), {}, group.column("root").to_pylist()
         up = {r: r for r in roots}
 
         def top(r):
@@ -275,10 +274,20 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                     if edits(a, b, most) <= most:
                         up[top(roots[i])] = top(roots[k])
                         out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype(pdf["doc_id"].dtype)
+        return out
+
+    def verify(batches):
+        hasher, made, kind = WordHasher(), [], None
+        for group in runs_of(batches, ["bucket", "x", "y"]):
+            kind = group.schema.field("doc_id").type
+            if group.num_rows > 1:
+                made += links(group, hasher)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], kind) for k in (0, 1)], ["a", "b"])
 
     kind = members.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(verify, f"a {kind}, b {kind}").distinct()
+    dealt = dealt.select("bucket", "x", "y", "own", "doc_id", "root", "single", "keys", "least", "text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
 def dealt_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, shingles, small, stored
+from .common import WordHasher, mix64, runs_of, shingles, small, stored
 from .components import components
-from .near_dedup import blocks
+from .near_dedup import apart, dealt_blocks
 
 WORD = re.compile(r"\w+")
 MIN_WORDS, SIMILARITY, RECALL = 10, 0.8, 0.9995
@@ -36,9 +36,8 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = 1
     return max(((hashes // r, r) for r in range(1, hashes + 1) if 1 - (1 - similarity**r) ** (hashes // r) >= recall), key=lambda x: x[1], default=(hashes, 1))
 
 
-def _signed(rows: DataFrame, min_words: int, bands: int, depth: int) -> DataFrame:
-    """doc_id, version, place, h1, h2, bands, least of each paragraph."""
-    n_hashes = bands * depth
+def _signed(rows: DataFrame, min_words: int, n_hashes: int) -> DataFrame:
+    """doc_id, version, place, h1, h2 (a digest of its words), least (its MinHash signature, 32 bits each) of each paragraph."""
     seeds = mix64(np.arange(1, n_hashes + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def run(batches):
@@ -46,7 +45,7 @@ def _signed(rows: DataFrame, min_words: int, bands: int, depth: int) -> DataFram
 
         hasher = WordHasher()
         for batch in batches:
-            row, place, h1, h2, keys, least = [], [], [], [], [], []
+            row, place, h1, h2, keys = [], [], [], [], []
             for at in range(0, batch.num_rows, 128):
                 words, sizes = [], []
                 for k, text in enumerate(batch.column(2).slice(at, 128).to_pylist()):
@@ -74,66 +73,127 @@ def _signed(rows: DataFrame, min_words: int, bands: int, depth: int) -> DataFram
                     m ^= m >> np.uint64(32)
                     m *= np.uint64(0xD6E8FEB86659FD93)
                     sig[i] = np.minimum.reduceat(m, cuts)[::2]
-                key = np.tile(np.arange(bands, dtype=np.uint64)[:, None], (1, len(sizes)))
-                for i in range(depth):
-                    key = mix64(key * np.uint64(31) + sig[i::depth])
-                keys += list(key.T.copy().view(np.int64))
-                small_sig = (sig >> np.uint64(32)).astype(np.uint32).T.copy()
-                least += [x.tobytes() for x in small_sig]
+                keys += list((sig >> np.uint64(32)).astype(np.uint32).T.copy().view(np.int32))
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary())], ["doc_id", "version", "place", "h1", "h2", "bands", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "version", "place", "h1", "h2", "least"])
 
-    return rows.mapInArrow(run, "doc_id long, version long, place int, h1 long, h2 long, bands array<long>, least binary")
+    return rows.mapInArrow(run, "doc_id long, version long, place int, h1 long, h2 long, least array<int>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes in ``pairs`` whose paragraphs' shingle sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(heads.join(nodes, "node").select("node", "doc_id", "version", "place"), "wanted")
+def _sets(nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """node, shingles (sorted distinct 64-bit hashes, as bytes) of the given nodes' paragraphs. Only their ids travel, if they are few enough to broadcast."""
+    wanted = stored(heads.select("node", "doc_id", "version", "place").join(nodes, "node"), "wanted")
     lines = rows.join(small(wanted, 1_000_000), ["doc_id", "version"]).select("node", F.element_at(F.split("text", "\n"), F.col("place") + 1).alias("line"))
-    joined = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
 
-    def compare(batches):
+    def run(batches):
         hasher = WordHasher()
+        for batch in batches:
+            made = [np.unique(shingles(hasher(WORD.findall(t.lower())), 5)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+
+    return lines.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes in ``pairs`` whose shingle sets are similar enough."""
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
+
+    def compare(batches):
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                u, v = (np.unique(shingles(hasher(WORD.findall(t.lower())), 5)) for t in (x, y))
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 if both >= similarity * (len(u) + len(v) - both):
                     keep.append(k)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return joined.select("a", "b", "line_a", "line_b").mapInArrow(compare, "a string, b string")
+    return joined.select("a", "b", "u", "v").mapInArrow(compare, "a long, b long")
+
+
+def _met(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
+    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, shingles).
+
+    Exact for all pairs of two blocks at once: shared shingles are counted by a matrix product over the shingles that more than one
+    member has. Only links come out, and no more than join what was apart in the group.
+    """
+
+    def links(group: pa.RecordBatch) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
+        ids, roots, own = group.column("doc_id").to_pylist(), group.column("root").to_pylist(), group.column("own").to_numpy()
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        if len(ids) == 2:  # most groups
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            return [tuple(sorted(ids))] if both >= similarity * (len(sets[0]) + len(sets[1]) - both) else []
+        size = np.array([len(s) for s in sets], dtype=np.float32)
+        kinds, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        keep = often[column] > 1
+        place = np.cumsum(often > 1) - 1
+        row, column, wide = row[keep], place[column[keep]], int((often > 1).sum())
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for at in range(0, wide, 4096):
+            part = (column >= at) & (column < at + 4096)
+            m = np.zeros((len(sets), min(4096, wide - at)), dtype=np.float32)
+            m[row[part], column[part] - at] = 1
+            both += m[left] @ m[right].T
+        hit = both >= similarity * (size[left][:, None] + size[right][None, :] - both) - 1e-4
+        up = {r: r for r in roots}
+
+        def top(r):
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        out = []
+        for i, k in np.argwhere(hit).tolist():
+            i, k = int(left[i]), int(right[k])
+            if i != k and (a := top(roots[i])) != (b := top(roots[k])):
+                up[a] = b
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+        return out
+
+    def compare(batches):
+        made: list[tuple[int, int]] = []
+        for group in runs_of(batches, ["bucket", "x", "y"]):
+            if group.num_rows > 1:
+                made += links(group)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = dealt_blocks(members, block).select("bucket", "x", "y", "own", "doc_id", "root", "shingles").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, version (a hash of the text), place (line, from 0), passage of every paragraph that repeats an earlier one.
 
-    ``passage`` is the node of the first occurrence: 16 hex digits of its document id (sign bit turned), 8 of its line, 16 of its version.
+    ``passage``: the document and line of its first occurrence (by id, then line, then version).
     """
     n_bands, depth = tune(similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
-    node = F.concat(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lpad(F.hex(F.col("place").cast("long")), 8, "0"), F.lpad(F.hex("version"), 16, "0"))
-    found = stored(_signed(rows, min_words, n_bands, depth).withColumn("node", node), "paragraphs")
-    groups = stored(found.groupBy("h1", "h2").agg(F.min("node").alias("head"), F.count("*").alias("n")), "groups")
-    heads = stored(found.join(groups.select(F.col("head").alias("node"), "h1", "h2"), ["node", "h1", "h2"]).select("node", "doc_id", "version", "place", "bands", "least").dropDuplicates(["node"]), "heads")
-    banded = stored(heads.select("node", F.explode("bands").alias("bucket")), "bands")
-    firsts = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = stored(banded.join(firsts, "bucket"), "shared")
-    partner = stored(shared.filter("first <> node").groupBy("node", "first").agg(F.count("*").alias("n")).groupBy("node").agg(F.min_by("first", F.struct(-F.col("n"), "first")).alias("a")).select("a", F.col("node").alias("b")), "partners")
-    links = stored(_verified(partner, rows, heads, similarity), "links")
+    found = stored(_signed(rows, min_words, n_bands * depth), "paragraphs")
+    groups = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "version", "least")).alias("head"), F.count("*").alias("n"))
+    heads = stored(groups.select("h1", "h2", "n", "head.*", F.monotonically_increasing_id().alias("node")), "heads")
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("least")[b * depth + k] for k in range(depth))) for b in range(n_bands)))
+    banded = heads.select("node", F.explode(bands).alias("bucket"))
+    firsts = stored(banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    shared = stored(banded.join(small(firsts), "bucket"), "shared")  # rows of buckets with company
+    partner = shared.filter("first <> node").groupBy("node", "first").agg(F.count("*").alias("n")).groupBy("node").agg(F.min_by("first", F.struct(-F.col("n"), "first")).alias("a"))
+    partner = stored(partner.select("a", F.col("node").alias("b")), "partners")
+    sets = stored(_sets(shared.select("node").distinct(), rows, heads), "sets", gather=False)
+    links = stored(_verified(partner, sets, similarity), "links")
     roots = components(links)
-    company = shared.select("bucket", F.col("node").alias("doc_id")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    apart = company.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    members = stored(company.join(apart, "bucket").join(heads.select(F.col("node").alias("doc_id"), "least"), "doc_id"), "members")
-    likely = stored(blocks(members, similarity / 2).join(partner, ["a", "b"], "left_anti"), "likely")
-    if not likely.isEmpty():
-        links = links.unionByName(stored(_verified(likely, rows, heads, similarity), "links"))
-        roots = components(links)
-    several = groups.filter("n > 1").select("head").unionByName(roots.select(F.col("node").alias("head"))).distinct()
-    passages = groups.join(several, "head").join(roots.withColumnRenamed("node", "head"), "head", "left").select("h1", "h2", F.coalesce("root", "head").alias("passage"))
-    return found.join(passages, ["h1", "h2"]).filter("node <> passage").select("doc_id", "version", "place", "passage").distinct()
+    members = apart(shared.select("bucket", F.col("node").alias("doc_id")), roots).join(sets.withColumnRenamed("node", "doc_id"), "doc_id")
+    more = stored(_met(stored(members, "members", gather=False), similarity), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    several = heads.select("h1", "h2", "n", "node", "doc_id", "place", "version").join(roots, "node", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    first = several.groupBy("root").agg(F.min(F.struct("doc_id", "place", "version")).alias("passage"))
+    passages = stored(several.join(first, "root").select("h1", "h2", "passage"), "passages")
+    out = found.select("doc_id", "version", "place", "h1", "h2").join(small(passages), ["h1", "h2"])
+    return out.filter(F.struct("doc_id", "place", "version") != F.col("passage")).select("doc_id", "version", "place", F.struct("passage.doc_id", "passage.place").alias("passage")).distinct()
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,5 +204,5 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     out = out.join(gone, (out[id_col].cast("long") == gone["__id"]) & (out["__v"] == gone["__version"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("cut_places", i)), "\n")
     out = out.withColumn(text_col, F.when(F.col("cut_places").isNull(), F.col(text_col)).otherwise(kept))
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return out.select(*docs.columns, empty("cut_places", "array<int>"), empty("cut_passages", "array<string>"))
+    empty = lambda c, kind: F.coalesce(F.col(c), F.from_json(F.lit("[]"), kind)).alias(c)
+    return out.select(*docs.columns, empty("cut_places", "array<int>"), empty("cut_passages", "array<struct<doc_id:long,place:int>>"))
