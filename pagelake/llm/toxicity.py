@@ -35,10 +35,21 @@ BITS = 18
 CHUNK = 64
 
 
+_seed = {x: zlib.crc32(x.encode()) for x in ("w:", "d:0", "d:1", *(f"{e}{k}:" for e, lengths in (("p", (3, 4, 5, 6)), ("s", (3, 4))) for k in lengths))}
+_length = [zlib.crc32(f"n:{k}".encode()) for k in range(13)]
+_parts = [(k, _seed[f"p{k}:"]) for k in (3, 4, 5, 6)], [(k, _seed[f"s{k}:"]) for k in (3, 4)]
+
+
 def features(word: str) -> list[int]:
-    """Places of a word's features in the table of weights."""
-    names = ["w:" + word, *(f"p{k}:{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k), *(f"s{k}:{word[-k:]}" for k in (3, 4) if len(word) > k), f"n:{min(len(word), 12)}", "d:1" if word[0].isdigit() else "d:0"]
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names]
+    """Places of a word's features in the table of weights: itself, its beginnings and endings, its length, whether it begins with a digit."""
+    n, crc, mask = len(word), zlib.crc32, (1 << BITS) - 1
+    raw = word.encode()
+    out = [crc(raw, _seed["w:"]) & mask, _length[min(n, 12)] & mask, _seed["d:1" if word[0].isdigit() else "d:0"] & mask]
+    if len(raw) == n:
+        out += [crc(raw[:k], s) & mask for k, s in _parts[0] if n > k] + [crc(raw[-k:], s) & mask for k, s in _parts[1] if n > k]
+    else:
+        out += [crc(word[:k].encode(), s) & mask for k, s in _parts[0] if n > k] + [crc(word[-k:].encode(), s) & mask for k, s in _parts[1] if n > k]
+    return out
 
 
 def forward_backward(e: np.ndarray, starts: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +157,19 @@ class Field:
 
     def __post_init__(self):
         self.known: dict[str, float] = {}
+        self.listed = self.weights.tolist()
 
     def scores(self, words: list[str], bound: int = 300_000) -> np.ndarray:
         got = list(map(self.known.get, words))
         if None in got:
-            if len(self.known) > bound:
-                self.known.clear()
-            for i, v in enumerate(got):
-                if v is None:
-                    got[i] = self.known[words[i]] = float(self.weights[features(words[i])].sum())
+            known, listed = self.known, self.listed
+            latest = [x for x in set(words) if x not in known]
+            for x in latest:
+                known[x] = sum([listed[k] for k in features(x)])
+            got = list(map(known.__getitem__, words))
+            if len(known) > bound:  # what came first is kept, the frequent words among it
+                for x in latest:
+                    del known[x]
         return np.array(got)
 
     def score(self, found: np.ndarray) -> np.ndarray:
