@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import id_text, small, stored
 
 #: Members of a bucket that are compared in one task.
-BLOCK = 10_000
+BLOCK = 500
 
 
 def canonical(text: Column) -> Column:

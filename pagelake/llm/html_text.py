@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title nav header footer aside form button select option label template svg iframe object canvas dialog menu datalist".split())
@@ -184,11 +186,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     votes = rows.select("host", "html").mapInPandas(vote, "host string, path string, score double").filter("path <> ''")
     sums = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.floor("score")).alias("score"))
-    won = sums.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
+    won = stored(sums.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path")), "hosts")
 
     def read(batches):
         for b in batches:
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [extract(x, p) for x, p in zip(b["html"], b["path"], strict=True)]})
 
-    out = rows.join(won, "host", "left").select("page_id", "url", "html", "path")
+    out = rows.join(small(won, 200_000), "host", "left").select("page_id", "url", "html", "path")
     return out.mapInPandas(read, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
