@@ -171,7 +171,7 @@ SELECT *, max(e) OVER (PARTITION BY source ORDER BY s, e, doc_id ROWS BETWEEN UN
 SELECT source, doc_id, s, s + n_chars AS e FROM (SELECT source, doc_id, n_chars, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars + (doc_id % 7 - 3) * 40)::BIGINT AS s FROM documents)))""")
 def byte_map_gaps(spark, d):
     docs = X.index_bases(t(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars")
-    r = docs.select("source", F.col("doc_id").alias("label"), (F.col("row_first") + (F.col("doc_id") % 7 - 3) * 40).alias("start")).join(docs.select(F.col("doc_id").alias("label"), "n_chars"), "label").withColumn("end", F.col("start") + F.col("n_chars"))
+    r = docs.select("source", F.col("doc_id").alias("label"), (F.col("row_first") + (F.col("doc_id") % 7 - 3) * 40).alias("start"), "n_chars").withColumn("end", F.col("start") + F.col("n_chars"))
     return R.gaps(r, ["source"]).select("source", F.col("label").alias("doc_id"), "gap", "overlap")
 
 
