@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives free memory back when its task ends: Python workers live on, and would keep what one stage needed through all that follow."""
+
+    @functools.wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return out
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The runs of equal keys in sorted batches, each as one batch. (Groups of two or three rows by the hundred thousand cost too much as frames of their own.)"""
     held = None
@@ -81,9 +102,9 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 
 
 class WordHasher:
-    """64-bit hashes of words, remembered up to a bound; what is forgotten is hashed again."""
+    """64-bit hashes of words, the first of which are remembered, up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 120_000):
         import xxhash
 
         self.hash, self.bound, self.known = xxhash.xxh3_64_intdigest, bound, {}
@@ -91,12 +112,12 @@ class WordHasher:
     def __call__(self, words: list[str]) -> np.ndarray:
         got = list(map(self.known.get, words))
         if None in got:
-            if len(self.known) > self.bound:
-                self.known.clear()
-            known, digest = self.known, self.hash
+            known, digest, room = self.known, self.hash, len(self.known) < self.bound
             for i, v in enumerate(got):
                 if v is None:
-                    got[i] = known[words[i]] = digest(words[i])
+                    got[i] = digest(words[i])
+                    if room:
+                        known[words[i]] = got[i]
         return np.array(got, dtype=np.uint64)
 
 

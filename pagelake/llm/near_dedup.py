@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, id_text, mix64, runs_of, shingles, small, stored
+from .common import WordHasher, id_text, lean, mix64, runs_of, shingles, small, stored
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -170,6 +170,7 @@ def _word_hashes(text: str, hasher: WordHasher) -> np.ndarray:
 def _sketched(rows: DataFrame) -> DataFrame:
     """node, words (a 128-bit digest of the word sequence, as two longs), n (words), keys, least of each row."""
 
+    @lean
     def run(batches):
         import xxhash
 
@@ -198,6 +199,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     texts = docs.join(small(wanted), "doc_id", "left_semi")
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
+    @lean
     def align(batches):
         hasher = WordHasher()
         last, words = None, None
@@ -276,6 +278,7 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                         out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
         return out
 
+    @lean
     def verify(batches):
         hasher, made, kind = WordHasher(), [], None
         for group in runs_of(batches, ["bucket", "x", "y"]):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, stored
+from .common import id_text, lean, stored
 from .tokenizing import encoder, in_parts
 
 #: Exact patterns of three and four lengths that are tried at most. It bounds the planning time, not what is packed.
@@ -32,6 +32,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str =
     """doc_id, piece, start, length, ids_crc32: a document longer than ``capacity`` is cut so that all its pieces but the first are full."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
+    @lean
     def cut(batches):
         enc = encoder(path)
         for batch in batches:
@@ -152,6 +153,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_c
     length, first, sequence, offset = places(plan(histogram, capacity))
     key = length * (1 << 44) + first
 
+    @lean
     def put(batches):
         for batch in batches:
             n, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("length", "rank"))

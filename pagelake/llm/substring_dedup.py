@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, runs_of, shingles, small, stored
+from .common import WordHasher, lean, mix64, runs_of, shingles, small, stored
 from .components import components
 from .near_dedup import apart, dealt_blocks
 
@@ -40,6 +40,7 @@ def _signed(rows: DataFrame, min_words: int, n_hashes: int) -> DataFrame:
     """doc_id, version, place, h1, h2 (a digest of its words), least (its MinHash signature, 32 bits each) of each paragraph."""
     seeds = mix64(np.arange(1, n_hashes + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
+    @lean
     def run(batches):
         import xxhash
 
@@ -85,6 +86,7 @@ def _sets(nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
     wanted = stored(heads.select("node", "doc_id", "version", "place").join(nodes, "node"), "wanted")
     lines = rows.join(small(wanted, 1_000_000), ["doc_id", "version"]).select("node", F.element_at(F.split("text", "\n"), F.col("place") + 1).alias("line"))
 
+    @lean
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
@@ -98,6 +100,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """The pairs (a, b) of nodes in ``pairs`` whose shingle sets are similar enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
 
+    @lean
     def compare(batches):
         for batch in batches:
             keep = []
@@ -155,6 +158,7 @@ def _met(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
                 out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
         return out
 
+    @lean
     def compare(batches):
         made: list[tuple[int, int]] = []
         for group in runs_of(batches, ["bucket", "x", "y"]):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, lean
 from .tokenizing import Encoder, encoder, forget, in_parts
 
 
@@ -52,6 +52,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) of each row of ``docs``."""
     whole = whole_tokens(path)
 
+    @lean
     def count(batches):
         if path not in _counters:
             _counters[path] = Counter(path, whole)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text
+from .common import id_text, lean
 from .tokenizing import encoder, in_parts
 
 HEAD = struct.Struct("<4sHHIQ")
@@ -87,6 +87,7 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, shar
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def encode(batches):
         from pyspark import TaskContext
 
@@ -123,6 +124,7 @@ def read_token_files(spark: SparkSession, at: str) -> DataFrame:
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
     base = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
+    @lean
     def decode(batches):
         for batch in batches:
             for base, start, docs, data in zip(*(batch.column(k).to_pylist() for k in ("base", "start", "doc_ids", "data")), strict=True):

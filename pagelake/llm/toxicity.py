@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text
+from .common import held_out, id_text, lean
 
 WORD = re.compile(r"\w+")
 BITS = 18
@@ -159,7 +159,7 @@ class Field:
         self.known: dict[str, float] = {}
         self.listed = self.weights.tolist()
 
-    def scores(self, words: list[str], bound: int = 300_000) -> np.ndarray:
+    def scores(self, words: list[str], bound: int = 120_000) -> np.ndarray:
         got = list(map(self.known.get, words))
         if None in got:
             known, listed = self.known, self.listed
@@ -270,7 +270,7 @@ def marginals(field: Field, words: list[str], starts: np.ndarray) -> np.ndarray:
     return forward_backward(field.scores(words), starts[keep], field.trans)[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_docs: int = 2500) -> Field:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_docs: int = 1500) -> Field:
     """``docs``: doc_id, text. Held-out ids are not read."""
     known = labels.filter(~held_out()).select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
@@ -278,6 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_
     chosen = pick(1).unionByName(pick(0))  # so few that the texts are the only large side
     sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
 
+    @lean
     def run(batches):
         rows = sorted((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         y = np.array([r[1] for r in rows], dtype=bool)
@@ -292,12 +293,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_
     return Field(np.frombuffer(bytes(got[0]["weights"]), np.float32), np.array(got[0]["trans"]).reshape(2, 2), got[0]["intercept"], np.array(got[0]["slopes"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 2500) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 1500) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start and end of each toxic run, in characters) of every row."""
     rows = id_text(docs, id_col, text_col)
     shared = _shared(rows, labels, label_col, max_fit_docs)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    @lean
     def tag(batches):
         own = Field(*shared.value)
         for batch in batches:
@@ -316,11 +318,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
-def reject(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 2500) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = 1500) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score under the threshold. Nothing is shuffled."""
     shared = _shared(id_text(docs, id_col, text_col), labels, label_col, max_fit_docs)
     at = docs.columns.index(text_col)
 
+    @lean
     def keep(batches):
         own = Field(*shared.value)
         for batch in batches:
