@@ -12,7 +12,7 @@ Classes are the connected components of links, the least id naming each:
 2. Each group is verified against one other: of those that are first in buckets it is in, the one it shares most buckets with.
    Whole families of near copies become one component here, with one pair for each member.
 3. What still stands apart in a bucket is compared with all else there, in blocks of bounded size: a member of each component, by
-   all sketches' minima at once. Pairs of which enough are equal are verified there and join components.
+   counts of words at once. All pairs whose counts allow so few edits are verified there and join components.
 
 Defined cases: null and empty texts, and texts without words, are a class together (as copies of the empty text); texts under five
 words have one shingle; rows that repeat an id are one document if their words are equal, and
@@ -33,8 +33,8 @@ from .components import components
 
 WORD = re.compile(r"\w+")
 SKETCHES, MINIMA, SIMILARITY = 32, 3, 0.8
-#: Documents of one bucket that are compared in a task with as many others, and the share of equal minima from which a pair is aligned.
-BLOCK, LIKELY = 256, 0.45
+#: Documents of one bucket that are compared in a task with as many others, and the bins that their words are counted in before.
+BLOCK, BINS = 256, 512
 #: Edits that the narrow band allows at first.
 BAND = 32
 _seeds = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -57,11 +57,11 @@ def labelled(words: np.ndarray, k: int = 5) -> np.ndarray:
     return out
 
 
-def sketch(words: np.ndarray, minima: int = MINIMA) -> tuple[np.ndarray, np.ndarray]:
-    """The document's sketches, a 64-bit key each, and its least hash under each order (32 bits)."""
+def sketch(words: np.ndarray, minima: int = MINIMA) -> np.ndarray:
+    """The document's sketches, a 64-bit key each."""
     h = labelled(words)
     n = len(h)
-    keys, least = np.empty(SKETCHES, np.uint64), np.empty(SKETCHES, np.uint32)
+    keys = np.empty(SKETCHES, np.uint64)
     take = min(minima, n)
     for at in range(0, SKETCHES, 8):  # eight orders at a time: a long text's hashes fit in cache
         m = (h[None, :] ^ _seeds[at : at + 8, None]) * np.uint64(0x9E3779B97F4A7C15)
@@ -72,8 +72,7 @@ def sketch(words: np.ndarray, minima: int = MINIMA) -> tuple[np.ndarray, np.ndar
         for j in range(take):
             key = mix64(key * np.uint64(31) + h[where[:, j]])
         keys[at : at + 8] = key
-        least[at : at + 8] = (np.take_along_axis(m, where, axis=1).min(axis=1) >> np.uint64(32)).astype(np.uint32)
-    return keys, least
+    return keys
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -168,7 +167,7 @@ def _word_hashes(text: str, hasher: WordHasher) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """node, words (a 128-bit digest of the word sequence, as two longs), n (words), keys, least of each row."""
+    """node, words (a 128-bit digest of the word sequence, as two longs), n (words), keys of each row."""
 
     @lean
     def run(batches):
@@ -176,7 +175,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
 
         hasher = WordHasher()
         for batch in batches:
-            h1, h2, n, keys, least = [], [], [], [], []
+            h1, h2, n, keys = [], [], [], []
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(1).slice(at, 256).to_pylist():
                     words = _word_hashes(text, hasher)
@@ -184,13 +183,12 @@ def _sketched(rows: DataFrame) -> DataFrame:
                     h1.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
                     h2.append((d >> 64) - (1 << 63))
                     n.append(len(words))
-                    k, m = sketch(words) if len(words) else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+                    k = sketch(words) if len(words) else np.empty(0, np.uint64)
                     keys.append(k.view(np.int64))
-                    least.append(m.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary())], ["doc_id", "h1", "h2", "n", "keys", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n int, keys array<long>, least binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n int, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,6 +218,12 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(align, f"a {kind}, b {kind}")
 
 
+def may_be_near(one: np.ndarray, others: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Which of ``others`` (counts of words in bins, a row each) may be within the edits of ``one``: words in common are at most what bins have in common, so none that is gets lost."""
+    longer = np.maximum(one.sum(), others.sum(axis=1))
+    return longer - np.minimum(one, others).sum(axis=1) <= ((1 - similarity) * longer + 1e-9).astype(np.int64)
+
+
 def apart(company: DataFrame, roots: DataFrame) -> DataFrame:
     """bucket, doc_id, root, single (no family): of each bucket that holds several components, one member of each, another one in each bucket (by a hash).
 
@@ -232,7 +236,7 @@ def apart(company: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, keys, least), found in blocks.
+    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, keys), found in blocks.
 
     Texts come along, so a pair is verified where it is met and never is a row: only links come out, and no more than join what was
     apart in the block. Two that have no family meet in the first bucket that they share and not again.
@@ -243,7 +247,6 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     def links(group: pa.RecordBatch, hasher: WordHasher) -> list[tuple]:
         n = group.num_rows
-        least = np.frombuffer(b"".join(group.column("least").to_pylist()), np.uint32).reshape(n, -1)
         keys = group.column("keys").flatten().to_numpy().reshape(n, -1)
         ids, own, single = group.column("doc_id").to_pylist(), group.column("own").to_numpy(), group.column("single").to_numpy(zero_copy_only=False)
         x, y, bucket = (group.column(c)[0].as_py() for c in ("x", "y", "bucket"))
@@ -257,18 +260,22 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 r = up[r]
             return r
 
+        counts, size = np.zeros((n, BINS), np.int32), np.zeros(n, np.int64)
+
         def of(k):
             if k not in words:
                 words[k] = _word_hashes(text[k], hasher)
+                counts[k], size[k] = np.bincount((words[k] % np.uint64(BINS)).astype(np.int64), minlength=BINS), len(words[k])
             return words[k]
 
-        size = np.array([len(t) for t in text])
         out, right = [], np.flatnonzero(own == y)
         for i in np.flatnonzero(own == x).tolist():
             j = right[right > i] if x == y else right
-            j = j[(least[j] == least[i]).mean(axis=1) >= LIKELY] if len(j) else j
             if which and len(j):
                 j = j[~((keys[j, :which] == keys[i, :which]).any(axis=1) & single[j] & single[i])]
+            for k in (i, *j.tolist()) if len(j) else ():
+                of(k)
+            j = j[may_be_near(counts[i], counts[j], similarity)]
             for k in j[np.argsort(np.abs(size[j] - size[i]), kind="stable")].tolist():
                 if top(roots[i]) != top(roots[k]):
                     a, b = of(i), of(k)
@@ -289,7 +296,7 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], kind) for k in (0, 1)], ["a", "b"])
 
     kind = members.schema["doc_id"].dataType.simpleString()
-    dealt = dealt.select("bucket", "x", "y", "own", "doc_id", "root", "single", "keys", "least", "text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = dealt.select("bucket", "x", "y", "own", "doc_id", "root", "single", "keys", "text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return dealt.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
@@ -308,7 +315,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     signed = stored(_sketched(rows), "sketches")
     group = signed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("copy_of"))
     copies = stored(signed.select("doc_id", "h1", "h2", "n").join(group, ["h1", "h2", "n"]).select("doc_id", "h1", "h2", "copy_of"), "copies")
-    heads = stored(signed.join(group.select("h1", "h2", "n", F.col("copy_of").alias("doc_id")), ["h1", "h2", "n", "doc_id"]).filter("n > 0").select("doc_id", "keys", "least").dropDuplicates(["doc_id"]), "heads")
+    heads = stored(signed.join(group.select("h1", "h2", "n", F.col("copy_of").alias("doc_id")), ["h1", "h2", "n", "doc_id"]).filter("n > 0").select("doc_id", "keys").dropDuplicates(["doc_id"]), "heads")
     texts = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
     # One partner each: the first of most of its buckets.
     buckets = stored(heads.select("doc_id", F.explode("keys").alias("bucket")), "buckets")
@@ -317,7 +324,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     partner = shared.filter("first <> doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a"))
     links = stored(verified(partner.select("a", F.col("doc_id").alias("b")), texts, similarity), "links")
     roots = components(links)
-    members = stored(apart(shared.select("bucket", "doc_id"), roots).join(heads.select("doc_id", "keys", "least"), "doc_id"), "members")
+    members = stored(apart(shared.select("bucket", "doc_id"), roots).join(heads.select("doc_id", "keys"), "doc_id"), "members")
     more = stored(_met(members, texts, similarity), "links")
     roots = components(links.unionByName(more))
     out = copies.join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")

@@ -163,3 +163,16 @@ def test_near_passages_equal_brute_force(spark):
             want.setdefault(x[0], []).append(x[1])
     got = {r.doc_id: sorted(r.cut_places) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.cut_places}
     assert got == {i: sorted(p) for i, p in want.items()}
+
+
+def test_pairs_within_the_edits_are_linked_however_few_minima_agree(spark):
+    """A text and its copy with every tenth word changed, where the text's partner is a longer one that holds it."""
+    rnd = random.Random(6)
+    word, hasher, rows, met = (lambda: f"w{rnd.randrange(9000)}"), N.WordHasher(), [], []
+    for k in range(0, 180, 3):
+        text = [word() for _ in range(60)]
+        rows += [(k, text + [word() for _ in range(60)]), (k + 1, [word() if j % 10 == 5 else w for j, w in enumerate(text)]), (k + 2, text)]
+        one, two = (N.sketch(hasher(t)) for _, t in rows[-2:])
+        met += [k] * bool((one == two).any())
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert len(met) > 30 and [k for k in met if got[k + 1] != got[k + 2] or got[k] == got[k + 1]] == []
