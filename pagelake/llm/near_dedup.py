@@ -11,8 +11,8 @@ Classes are the connected components of links, the least id naming each:
 1. Texts with the same words form one group; only the group's least row goes on, so copies make no pairs.
 2. Each group is verified against one other: of those that are first in buckets it is in, the one it shares most buckets with.
    Whole families of near copies become one component here, with one pair for each member.
-3. What still stands apart in a bucket is compared with all else there, in blocks of bounded size: a member of each component, by
-   counts of words at once. All pairs whose counts allow so few edits are verified there and join components.
+3. What still stands apart in a bucket is compared with all else there, in blocks of bounded size: all members, by
+   counts of words at once. All pairs of several components whose counts allow so few edits are verified there and join components.
 
 Defined cases: null and empty texts, and texts without words, are a class together (as copies of the empty text); texts under five
 words have one shingle; rows that repeat an id are one document if their words are equal, and
@@ -225,21 +225,17 @@ def may_be_near(one: np.ndarray, others: np.ndarray, similarity: float = SIMILAR
 
 
 def apart(company: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, doc_id, root, single (no family): of each bucket that holds several components, one member of each, another one in each bucket (by a hash).
-
-    A component is a family of near copies, and comes up in many buckets with other members, so it is as well met by them as by all.
-    """
-    own = company.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("single", F.col("root").isNull()).withColumn("root", F.coalesce("root", "doc_id"))
-    one = own.groupBy("bucket", "root").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("doc_id"), F.first("single").alias("single"))
-    several = one.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return one.join(several, "bucket")
+    """bucket, doc_id, root of all members of each bucket that holds several components: any of them may be the one that a member of another is near."""
+    own = company.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    several = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    return own.join(several, "bucket")
 
 
 def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, keys), found in blocks.
 
     Texts come along, so a pair is verified where it is met and never is a row: only links come out, and no more than join what was
-    apart in the block. Two that have no family meet in the first bucket that they share and not again.
+    apart in the block. Two of one component are not compared; others are in the first bucket that they share and not again.
     """
     ids = stored(members.select("doc_id").distinct(), "ids")
     held = stored(texts.join(small(ids), "doc_id").select("doc_id", "text"), "texts")
@@ -248,7 +244,7 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def links(group: pa.RecordBatch, hasher: WordHasher) -> list[tuple]:
         n = group.num_rows
         keys = group.column("keys").flatten().to_numpy().reshape(n, -1)
-        ids, own, single = group.column("doc_id").to_pylist(), group.column("own").to_numpy(), group.column("single").to_numpy(zero_copy_only=False)
+        ids, own, root = group.column("doc_id").to_pylist(), group.column("own").to_numpy(), group.column("root").to_numpy(zero_copy_only=False)
         x, y, bucket = (group.column(c)[0].as_py() for c in ("x", "y", "bucket"))
         which = int(np.flatnonzero(keys[0] == bucket)[0])
         text, words, roots = group.column("text").to_pylist(), {}, group.column("root").to_pylist()
@@ -271,8 +267,9 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         out, right = [], np.flatnonzero(own == y)
         for i in np.flatnonzero(own == x).tolist():
             j = right[right > i] if x == y else right
+            j = j[root[j] != root[i]]
             if which and len(j):
-                j = j[~((keys[j, :which] == keys[i, :which]).any(axis=1) & single[j] & single[i])]
+                j = j[~(keys[j, :which] == keys[i, :which]).any(axis=1)]
             for k in (i, *j.tolist()) if len(j) else ():
                 of(k)
             j = j[may_be_near(counts[i], counts[j], similarity)]
@@ -296,17 +293,22 @@ def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], kind) for k in (0, 1)], ["a", "b"])
 
     kind = members.schema["doc_id"].dataType.simpleString()
-    dealt = dealt.select("bucket", "x", "y", "own", "doc_id", "root", "single", "keys", "text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = dealt.select("bucket", "x", "y", "own", "doc_id", "root", "keys", "text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return dealt.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
 def dealt_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """``members`` dealt into pairs of blocks (x, y) of their buckets, about ``block`` members each by a hash (``own``). A member of a bucket of B
-    goes to B / block groups, and no group holds many more than two blocks."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "other")
+    goes to B / block groups, and no group holds many more than two blocks. A component that is larger than half a block has blocks of its own, the
+    last ones, which don't meet each other: its members go to as many groups as the rest of the bucket has blocks."""
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("large"))
+    alone = (F.col("n") > block) & (F.col("large.n") > block // 2)
+    of = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("bucket", F.when(alone, F.col("large.root")).alias("large"), of(F.when(alone, F.col("n") - F.col("large.n")).otherwise(F.col("n"))).alias("rest"), F.when(alone, of(F.col("large.n"))).otherwise(0).alias("more"))
+    dealt = members.join(sizes, "bucket").withColumn("is_large", F.coalesce(F.col("root") == F.col("large"), F.lit(False)))
+    dealt = dealt.withColumn("own", F.when(F.col("is_large"), F.col("rest") + F.expr("pmod(xxhash64(doc_id), more)")).otherwise(F.expr("pmod(xxhash64(doc_id), rest)")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("is_large"), 0).otherwise(F.col("more")))))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("large", "rest", "more", "is_large", "other")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

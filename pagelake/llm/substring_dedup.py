@@ -6,8 +6,8 @@ for a recall of at least ``recall`` at the similarity asked for. Paragraphs that
 Jaccard is verified on their texts, and connected components of what holds are the passages: the first
 occurrence (by document id, then place) stays, all others are cut from their documents.
 
-Pairs are formed as for near-duplicate documents: one partner for each paragraph first, then what still stands apart in a bucket,
-in blocks of bounded size. So a passage that is in a third of all documents makes one pair for each distinct form of it.
+Pairs are formed as for near-duplicate documents: one partner for each paragraph first, then all members of what still stands apart
+in a bucket, in blocks of bounded size. So a passage that is in a third of all documents makes one pair for each distinct form of it.
 
 Defined cases: null texts stay null and empty ones empty; lines under ``min_words`` words are never cut; a document all of whose
 lines are cut keeps an empty text, and its row; rows that are the same (id and text) are cut alike, rows that only share an id each by
@@ -142,6 +142,8 @@ def _met(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
             m[row[part], column[part] - at] = 1
             both += m[left] @ m[right].T
         hit = both >= similarity * (size[left][:, None] + size[right][None, :] - both) - 1e-4
+        root = group.column("root").to_numpy()
+        hit &= root[left][:, None] != root[right][None, :]
         up = {r: r for r in roots}
 
         def top(r):

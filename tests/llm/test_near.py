@@ -176,3 +176,60 @@ def test_pairs_within_the_edits_are_linked_however_few_minima_agree(spark):
         met += [k] * bool((one == two).any())
     got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
     assert len(met) > 30 and [k for k in met if got[k + 1] != got[k + 2] or got[k] == got[k + 1]] == []
+
+
+def drifting(rnd, families, members, size, changes):
+    """Texts, each made from an earlier one of its family."""
+    out = []
+    for _ in range(families):
+        family = [[f"w{rnd.randrange(9000)}" for _ in range(size)]]
+        while len(family) < members:
+            t = list(rnd.choice(family))
+            for k in rnd.sample(range(size), changes):
+                t[k] = f"w{rnd.randrange(9000)}"
+            family.append(t)
+        out += family
+    rnd.shuffle(out)
+    return out
+
+
+def joined(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(k) for k in range(n)]
+
+
+def test_all_members_of_drifting_families_are_compared(spark):
+    """Classes are the components of all pairs that share a sketch and are within the edits, in blocks of any size."""
+    texts, hasher = drifting(random.Random(11), 6, 60, 30, 2), N.WordHasher()
+    hashed = [hasher(t) for t in texts]
+    keys = [N.sketch(h) for h in hashed]
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if (keys[i] == keys[j]).any() and edits(hashed[i], hashed[j], 6) <= 6]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == joined(len(texts), links)
+
+
+def test_blocks_hold_all_pairs_of_several_components_once(spark):
+    rows = [(1, k, 0 if k < 70 else k // 3) for k in range(100)] + [(2, k, k) for k in range(35)] + [(3, k, k % 2) for k in range(6)]
+    met = {}
+    for r in N.dealt_blocks(spark.createDataFrame(rows, "bucket long, doc_id long, root long"), 10).collect():
+        met.setdefault((r.bucket, r.x, r.y), []).append(r)
+    pairs = [(b, *sorted((p.doc_id, q.doc_id))) for (b, x, y), g in met.items() for i, p in enumerate(g) for j, q in enumerate(g) if p.own == x and q.own == y and (i < j if x == y else True) and p.root != q.root]
+    assert sorted(pairs) == sorted((b, i, j) for b, i, r in rows for c, j, s in rows if b == c and i < j and r != s)
+
+
+def test_a_drifting_passage_is_one(spark):
+    texts = drifting(random.Random(12), 4, 100, 60, 1)
+    sets = [{tuple(t[k : k + 5]) for k in range(56)} for t in texts]
+    whole = joined(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r.doc_id for r in cut_repeats(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect() if r.cut_places}
+    assert got == {k for k, r in enumerate(whole) if k != r}
