@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,26 +22,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this machine if Spark runs on this machine alone, else one in the warehouse."""
     sc = spark.sparkContext._jsc.sc()
-    if sc.getCheckpointDir().isDefined():
-        return sc.getCheckpointDir().get()
-    if at := spark.conf.get("spark.checkpoint.dir", None):
+    if not sc.getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            at = tempfile.mkdtemp(prefix="pagelake-") if re.match(r"local(\[|$)", spark.sparkContext.master) else spark.conf.get("spark.sql.warehouse.dir") + "/_pagelake"
         spark.sparkContext.setCheckpointDir(at)
-    else:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagelake-"))
     return sc.getCheckpointDir().get()
 
 
-def stored(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
+#: Bytes of its input, as the planner estimates them, for which a stored table has a task of its own at least.
+TASK_BYTES = 16 << 20
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns it as read back: its lineage ends here and lost executors cost nothing before it.
 
-    ``gather``: rows are few or short, so the last stage runs as two tasks a core at most, each of which writes one file.
+    Where the last stage has far more partitions than its estimated size asks for, they are gathered: into two tasks a core,
+    or one for each TASK_BYTES if those are more. So tasks follow the input, and small tables are few files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if gather else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), 1 << 30))).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    for scope in _scopes:
+        scope.append(path)
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """Gathers the paths of all tables that are stored inside it, so that they can go when what was made of them is written."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not paths]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of stored tables, and lets Spark clean up the shuffles that nothing refers to any more."""
+    jvm = spark._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that later steps don't read: what was made of them is stored itself."""
+    remove(tables[0].sparkSession, [t._stored_at for t in tables])
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,6 +174,55 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix64(h)
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df`` marked for broadcast if it is measured to hold at most so many rows (of a few numbers each); else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(df: DataFrame) -> Column | None:
+    """Bytes of a row's variable columns, by a column expression; None if all are of fixed width."""
+    parts = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            parts.append(F.octet_length(f.name))
+        elif f.dataType.typeName() in ("array", "map"):
+            parts.append(F.length(F.to_json(F.struct(f.name))))
+        elif f.dataType.typeName() == "struct":
+            parts.append(F.length(F.to_json(f.name)))
+    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)) if parts else None
+
+
+def is_small(df: DataFrame, limit: int = 16 << 20) -> bool:
+    """Whether ``df`` is measured to hold at most so many bytes; 16 for each fixed column of a row, and the lengths of variable ones."""
+    rows = limit // (16 * len(df.columns))
+    head = df.limit(rows + 1)
+    if (own := width(df)) is None:
+        return head.count() <= rows
+    n, size = head.agg(F.count("*"), F.sum(own)).first()
+    return n <= rows and (size or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it is measured to be small; else as it is, to be shuffled."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", each: int = 4096) -> DataFrame:
+    """``left`` join ``right``, which has one row for each ``on`` at most, so that no key's rows need to meet in one task.
+
+    A small ``right`` is broadcast. Else the rows of a key that has over ``each`` of them, and over a ten thousandth of all, are dealt over
+    several tasks by a hash of the whole row, and that key's row of ``right`` goes to each of them. Both tables should be stored.
+    """
+    if is_small(right):
+        return left.join(F.broadcast(right), on, how)
+    each = max(each, left.count() // 10_000)
+    hot = left.groupBy(on).agg(F.count("*").alias("__n")).filter(F.col("__n") > each).select(on, F.ceil(F.col("__n") / each).cast("int").alias("__ways"))
+    hot = stored(hot, "hot")  # 10,000 rows at most
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    one = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__ways")).cast("int"), F.lit(0))).drop("__ways")
+    other = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__ways", F.lit(1)) - 1))).drop("__ways")
+    return one.join(other, [on, "__salt"], how).drop("__salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dealt_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round, every node hooks to its least smaller neighbour, which gives a forest; pointers are doubled until they are
     roots; edges are relabelled by roots and those inside a tree dropped. The trees that are left at least halve, so
-    the rounds are few however long the paths. Every step is a join or an aggregate; nothing comes to the driver but counts.
+    the rounds are few however long the paths. Every step is a join or an aggregate, rows of a hub are
+    dealt over several tasks, and nothing comes to the driver but counts.
     """
     left = stored(_ordered(edges), "edges")
     labels = None
@@ -24,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         forest = stored(least.unionByName(tops), "forest")
         while True:
             up = forest.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            moved = stored(forest.join(up, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "forest")
+            moved = stored(dealt_join(forest, up, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "forest")
             forest = moved.drop("moved")
             if moved.filter("moved").isEmpty():
                 break
@@ -32,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = forest.select("node", F.col("up").alias("root"))
         else:
             to = forest.select(F.col("node").alias("root"), F.col("up").alias("top"))
-            labels = stored(labels.join(to, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+            labels = stored(dealt_join(labels, to, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
         a, b = forest.select(F.col("node").alias("a"), F.col("up").alias("x")), forest.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        left = stored(_ordered(left.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+        left = stored(_ordered(dealt_join(dealt_join(left, a, "a"), b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
     if labels is None:
         kind = edges.schema["a"].dataType.simpleString()
         labels = edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")

@@ -15,8 +15,10 @@ Classes are the connected components of links, the least id naming each:
    counts of words at once. All pairs of several components whose counts allow so few edits are verified there and join components.
 
 Defined cases: null and empty texts, and texts without words, are a class together (as copies of the empty text); texts under five
-words have one shingle; rows that repeat an id are one document if their words are equal, and
-otherwise each joins its class (the id is then in both; the result has a row for each row). Only the id and the text are read.
+words have one shingle; rows of the same id and text are one document, rows that only share an id are documents of their own, each in its
+text's class (the id is then in both; the result has a row for each row); rows without an id are in no class and never dropped; ids are of
+any type that has an order; ties go to the least id; very long texts are sketched and aligned whole (one task holds two of them); an empty
+table gives an empty one. Only the id and the text are read, other columns are passed on whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, id_text, lean, mix64, runs_of, shingles, small, stored
+from .common import WordHasher, dealt_join, free_name, id_text, lean, mix64, release, runs_of, shingles, small, stored
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -167,7 +169,7 @@ def _word_hashes(text: str, hasher: WordHasher) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """node, words (a 128-bit digest of the word sequence, as two longs), n (words), keys of each row."""
+    """doc_id, version, h1, h2 (a 128-bit digest of the word sequence), n (words), keys of each row (doc_id, version, text)."""
 
     @lean
     def run(batches):
@@ -177,7 +179,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
         for batch in batches:
             h1, h2, n, keys = [], [], [], []
             for at in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(at, 256).to_pylist():
+                for text in batch.column(2).slice(at, 256).to_pylist():
                     words = _word_hashes(text, hasher)
                     d = xxhash.xxh3_128_intdigest(words.tobytes())
                     h1.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
@@ -185,17 +187,16 @@ def _sketched(rows: DataFrame) -> DataFrame:
                     n.append(len(words))
                     k = sketch(words) if len(words) else np.empty(0, np.uint64)
                     keys.append(k.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "version", "h1", "h2", "n", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n int, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, version long, h1 long, h2 long, n int, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of ids in ``pairs`` whose texts' alignment is within the band. ``docs``: doc_id, text, an id once."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(small(wanted), "doc_id", "left_semi")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) of ids in ``pairs`` whose texts' alignment is within the band. ``docs``: doc_id, text of all of them, an id once. Both are stored."""
+    joined = dealt_join(pairs, docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = dealt_join(joined, docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     @lean
     def align(batches):
@@ -226,20 +227,18 @@ def may_be_near(one: np.ndarray, others: np.ndarray, similarity: float = SIMILAR
 
 def apart(company: DataFrame, roots: DataFrame) -> DataFrame:
     """bucket, doc_id, root of all members of each bucket that holds several components: any of them may be the one that a member of another is near."""
-    own = company.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    own = stored(company.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "own")
     several = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    return own.join(several, "bucket")
+    return dealt_join(own, stored(several, "several"), "bucket")
 
 
 def _met(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, keys), found in blocks.
+    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, keys), found in blocks. ``texts``: doc_id, text.
 
     Texts come along, so a pair is verified where it is met and never is a row: only links come out, and no more than join what was
     apart in the block. Two of one component are not compared; others are in the first bucket that they share and not again.
     """
-    ids = stored(members.select("doc_id").distinct(), "ids")
-    held = stored(texts.join(small(ids), "doc_id").select("doc_id", "text"), "texts")
-    dealt = dealt_blocks(members).join(held, "doc_id")
+    dealt = dealt_blocks(members).join(texts, "doc_id")
 
     def links(group: pa.RecordBatch, hasher: WordHasher) -> list[tuple]:
         n = group.num_rows
@@ -301,45 +300,81 @@ def dealt_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """``members`` dealt into pairs of blocks (x, y) of their buckets, about ``block`` members each by a hash (``own``). A member of a bucket of B
     goes to B / block groups, and no group holds many more than two blocks. A component that is larger than half a block has blocks of its own, the
     last ones, which don't meet each other: its members go to as many groups as the rest of the bucket has blocks."""
+    members = stored(members, "members")
     sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("large"))
     alone = (F.col("n") > block) & (F.col("large.n") > block // 2)
     of = lambda n: F.ceil(n / block).cast("int")
     sizes = sizes.select("bucket", F.when(alone, F.col("large.root")).alias("large"), of(F.when(alone, F.col("n") - F.col("large.n")).otherwise(F.col("n"))).alias("rest"), F.when(alone, of(F.col("large.n"))).otherwise(0).alias("more"))
-    dealt = members.join(sizes, "bucket").withColumn("is_large", F.coalesce(F.col("root") == F.col("large"), F.lit(False)))
+    dealt = dealt_join(members, stored(sizes, "sizes"), "bucket").withColumn("is_large", F.coalesce(F.col("root") == F.col("large"), F.lit(False)))
     dealt = dealt.withColumn("own", F.when(F.col("is_large"), F.col("rest") + F.expr("pmod(xxhash64(doc_id), more)")).otherwise(F.expr("pmod(xxhash64(doc_id), rest)")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("is_large"), 0).otherwise(F.col("more")))))
     return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("large", "rest", "more", "is_large", "other")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of its class), copy_of (the least id with the same words) of every row."""
-    rows = id_text(docs, id_col, text_col)
-    signed = stored(_sketched(rows), "sketches")
-    group = signed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("copy_of"))
-    copies = stored(signed.select("doc_id", "h1", "h2", "n").join(group, ["h1", "h2", "n"]).select("doc_id", "h1", "h2", "copy_of"), "copies")
-    heads = stored(signed.join(group.select("h1", "h2", "n", F.col("copy_of").alias("doc_id")), ["h1", "h2", "n", "doc_id"]).filter("n > 0").select("doc_id", "keys").dropDuplicates(["doc_id"]), "heads")
-    texts = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
+def _links(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's text (doc_id, version, node), each text's first row (node, doc_id, version), and the links (a, b) of texts; all stored."""
+    rows = id_text(docs, id_col, text_col).filter("doc_id is not null").withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
+    signed = stored(_sketched(rows).withColumn("same", F.struct("h1", "h2", "n")).drop("h1", "h2"), "sketches")
+    group = signed.groupBy("same").agg(F.min(F.struct("doc_id", "version")).alias("head"))
+    group = stored(group.select("same", "head.*", F.monotonically_increasing_id().alias("node")), "texts")
+    copies = stored(dealt_join(signed.select("doc_id", "version", "same"), group.select("same", "node"), "same").drop("same"), "copies")
+    heads = stored(signed.filter("n > 0").select("doc_id", "version", "keys").join(group.select("doc_id", "version", "node"), ["doc_id", "version"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "keys"), "heads")
+    repeated = not signed.groupBy("doc_id", "version").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    release(signed)
+    first = group.select("node", "doc_id", "version")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """doc_id (a node), text."""
+        wanted = small(stored(first.join(nodes, "node"), "wanted"))
+        found = rows.join(wanted, ["doc_id", "version"]).select(F.col("node").alias("doc_id"), "text")
+        return stored(found.dropDuplicates(["doc_id"]) if repeated else found, "wanted-texts")
+
     # One partner each: the first of most of its buckets.
     buckets = stored(heads.select("doc_id", F.explode("keys").alias("bucket")), "buckets")
     firsts = buckets.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = stored(buckets.join(firsts, "bucket"), "shared")  # rows of buckets with company
+    shared = stored(dealt_join(buckets, stored(firsts, "firsts"), "bucket"), "shared")  # rows of buckets with company
+    release(buckets)
     partner = shared.filter("first <> doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a"))
-    links = stored(verified(partner.select("a", F.col("doc_id").alias("b")), texts, similarity), "links")
-    roots = components(links)
-    members = stored(apart(shared.select("bucket", "doc_id"), roots).join(heads.select("doc_id", "keys"), "doc_id"), "members")
-    more = stored(_met(members, texts, similarity), "links")
-    roots = components(links.unionByName(more))
-    out = copies.join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    return out.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
+    pairs = stored(partner.select("a", F.col("doc_id").alias("b")), "partners")
+    held = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    links = stored(verified(pairs, held, similarity), "links")
+    release(held)
+    members = apart(shared.select("bucket", "doc_id"), components(links)).join(heads, "doc_id")
+    members = stored(members, "members")
+    more = stored(_met(members, texts(members.select(F.col("doc_id").alias("node")).distinct()), similarity), "links")
+    return copies, group.select("node", "doc_id", "version"), links.unionByName(more)
+
+
+def near_links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: verified pairs of different texts' first ids. They join all that is near: classes are their connected components."""
+    _, first, links = _links(docs, similarity, id_col, text_col)
+    a, b = first.select(F.col("node").alias("a"), F.col("doc_id").alias("one")), first.select(F.col("node").alias("b"), F.col("doc_id").alias("two"))
+    return dealt_join(dealt_join(links, a, "a"), b, "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, version, copy_of, and ``head``, the class's first (doc_id, version), of every row that has an id."""
+    copies, first, links = _links(docs, similarity, id_col, text_col)
+    named = stored(first.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    heads = stored(named.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("head")), "classes")
+    known = stored(dealt_join(named, heads, "root").select("node", F.col("doc_id").alias("copy_of"), "head"), "known")
+    return dealt_join(copies, known, "node").drop("node")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the least id of its class), copy_of (the least id with the same words) of every row; both null where the id is."""
+    out = _classes(docs, similarity, id_col, text_col).select("doc_id", F.col("head.doc_id").alias("class_id"), "copy_of")
+    none = id_text(docs, id_col, text_col).filter("doc_id is null")
+    return out.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of each class; one row where an id is repeated. Rows without an id stay."""
-    classes = near_classes(docs.filter(F.col(id_col).isNotNull()), similarity, id_col, text_col)
-    gone = stored(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    kept = docs.join(small(gone), id_col, "left_anti")
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull())) if _repeats(id_text(docs, id_col, text_col)) else kept
+    """The first row (by id) of each class of ``docs``; one where that is repeated. Rows without an id stay."""
+    classes = stored(_classes(docs, similarity, id_col, text_col).select("doc_id", "version", "head"), "row-classes")
+    id_name, version = (free_name(docs, n) for n in ("__id", "__version"))
+    gone = classes.filter((F.col("doc_id") != F.col("head.doc_id")) | (F.col("version") != F.col("head.version"))).select(F.col("doc_id").alias(id_name), F.col("version").alias(version)).distinct()
+    rows = docs.withColumn(id_name, F.col(id_col)).withColumn(version, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = rows.join(small(stored(gone, "gone")), [id_name, version], "left_anti")
+    if not classes.groupBy("doc_id", "version").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        kept = kept.filter(F.col(id_name).isNotNull()).dropDuplicates([id_name, version]).unionByName(kept.filter(F.col(id_name).isNull()))
+    return kept.select(*docs.columns)

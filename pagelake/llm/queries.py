@@ -47,7 +47,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import cut_repeats
 
     out = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.size("cut_places").cast("long").alias("n_cut"), "cut_places", "cut_passages", "text")
+    return out.select("doc_id", F.size("cuts").cast("long").alias("n_cut"), "cuts", "text")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,26 @@
 """Repeated passages by paragraph MinHash banding.
 
-A paragraph is a line of at least ``min_words`` words. Equal paragraphs (same lower-cased words) form a group; the first
-occurrence of each group has a MinHash signature of its five-word shingles, cut into bands. ``tune`` chooses bands and rows
-for a recall of at least ``recall`` at the similarity asked for. Paragraphs that collide in a band are joined, exact
-Jaccard is verified on their texts, and connected components of what holds are the passages: the first
-occurrence (by document id, then place) stays, all others are cut from their documents.
-
-Pairs are formed as for near-duplicate documents: one partner for each paragraph first, then all members of what still stands apart
-in a bucket, in blocks of bounded size. So a passage that is in a third of all documents makes one pair for each distinct form of it.
-
-Defined cases: null texts stay null and empty ones empty; lines under ``min_words`` words are never cut; a document all of whose
-lines are cut keeps an empty text, and its row; rows that are the same (id and text) are cut alike, rows that only share an id each by
-their own text; other columns are passed on untouched.
+Paragraphs don't hang on line ends. A document's words give five-word shingles; wherever a shingle's hash is the least of
+``min_run - UNIT + 1`` neighbours, a paragraph of UNIT words begins there. So any run of ``min_run`` words holds a whole paragraph, and it
+is the same one wherever the run stands. Lines of ``min_run`` words or more are paragraphs too. (The hashes' least values being where
+they are, what repeats is cut into the same paragraphs in every document.)
+
+1. Each paragraph has a MinHash signature of its shingles, cut into bands. ``tune`` chooses bands and rows: equal paragraphs always
+   collide, and similar ones with the recall that is asked for. Bands that several documents have are joined.
+2. Each paragraph is verified by exact Jaccard against one other: of those that are first in bands it is in, the one it shares most bands
+   with. Equal and similar words beside the two are followed as far as they go, so a link also says how far the repetition reaches.
+3. What still stands apart in a band is compared with all else there, in blocks of bounded size. Members of large bands are
+   first dealt to sub-bands by their rarest shingles there (a prefix filter: two sets that are similar enough share one of them).
+4. Connected components of links are the passages. Where two members of one agree less far with their partners than ``min_run`` words, all its
+   members are grouped by every run of ``min_run`` words around them, so a shorter passage inside hides no longer one.
+5. What belongs to a component is a repeat, unless it stands in the component's first document. Repeats that touch or overlap (or leave out
+   at most GAP words) join, and runs of at least ``min_run`` words are cut. So every exact repetition of that many words in an earlier document goes.
+
+Defined cases: null texts stay null and empty ones empty; a text under ``min_run`` words is never cut; a passage that repeats inside one
+document only stays; a document that is cut wholly keeps an empty text, and its row; rows that are the same (id and text) are one document
+and cut alike, rows that only share an id are documents of their own; rows without an id stay as they are and cut nothing; ids are of any
+type that has an order; other columns are passed on untouched, whatever their names; very long texts are cut as any other, in one task each;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,100 +31,334 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WordHasher, lean, mix64, runs_of, shingles, small, stored
+from .common import WordHasher, dealt_join, free_name, lean, mix64, release, runs_of, shingles, small, stored
 from .components import components
 from .near_dedup import apart, dealt_blocks
 
-WORD = re.compile(r"\w+")
-MIN_WORDS, SIMILARITY, RECALL = 10, 0.8, 0.9995
+TOKEN, WORD = re.compile(r"\w+|\n"), re.compile(r"\w+")
+MIN_RUN, SIMILARITY, UNIT, SHINGLE = 50, 0.8, 21, 5
+#: Similarity of two paragraphs of UNIT words that differ in an end word: 16 of 18 shingles. Any other difference takes it under 0.8.
+EDGE = 0.88
+#: Words that a cut may take along between two repeats.
+GAP = 4
+#: Members of a band over which it is dealt to sub-bands, and of a block.
+LARGE, BLOCK = 256, 256
+#: Places of an id's bits that number a document's paragraphs.
+BITS = 26
+_C, _D, _MOST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def tune(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = 16) -> tuple[int, int]:
+def tune(similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 16) -> tuple[int, int]:
     """(bands, rows): the most rows a band (the fewest chance collisions) for which bands of them reach the recall."""
     return max(((hashes // r, r) for r in range(1, hashes + 1) if 1 - (1 - similarity**r) ** (hashes // r) >= recall), key=lambda x: x[1], default=(hashes, 1))
 
 
-def _signed(rows: DataFrame, min_words: int, n_hashes: int) -> DataFrame:
-    """doc_id, version, place, h1, h2 (a digest of its words), least (its MinHash signature, 32 bits each) of each paragraph."""
-    seeds = mix64(np.arange(1, n_hashes + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+def word_list(text: str) -> list[str]:
+    """Lower-cased words, one for each match of WORD in the text as it is."""
+    words = WORD.findall(text)
+    return "\0".join(words).lower().split("\0") if words else []
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        h = np.minimum(h[: len(h) - size], h[size:])
+        size *= 2
+    return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
+
+
+def starts(h: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """Where paragraphs begin: places whose hash is the least of some ``width`` neighbours of one document (``count`` hashes from ``first`` on).
+
+    Where one hash comes again and again, as in a text of one word, places less than ``width`` apart count once.
+    """
+    if len(h) < width:
+        return np.empty(0, np.int64)
+    least = _least(h, width)
+    border = np.zeros(len(h) + 1, np.int64)
+    full = count >= width
+    np.add.at(border, first[full], 1)
+    np.add.at(border, first[full] + count[full] - width + 1, -1)
+    least = np.where(np.cumsum(border[: len(least)]) > 0, least, 0)  # windows that cross a document's end don't count
+    none = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(h == ~_least(~np.concatenate((none, least, none)), width))
+    if len(at) > 1:
+        again = (h[at][1:] == h[at][:-1]) & (np.diff(at) < width)
+        run = np.cumsum(np.append(True, ~again)) - 1
+        begin = at[np.append(True, ~again)][run]
+        turn = (at - begin) // width
+        at = at[np.append(True, ~again | (turn[1:] != turn[:-1]))]
+    return at
+
+
+def _signature(m: np.ndarray, seed: np.uint64) -> np.ndarray:
+    m = (m ^ seed) * _C
+    m ^= m >> np.uint64(32)
+    m *= _D
+    return m
+
+
+def _keys(minima: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
+    """A key for each band (columns) of each paragraph (rows)."""
+    out = np.empty((minima.shape[1], bands), np.uint64)
+    for b in range(bands):
+        key = np.full(minima.shape[1], 1000 * kind + b, np.uint64)
+        for r in range(rows):
+            key = mix64(key * np.uint64(31) + minima[b * rows + r])
+        out[:, b] = key
+    return out
+
+
+def _signed(rows: DataFrame, min_run: int, similarity: float) -> DataFrame:
+    """doc_id, version, starts, sizes (words) of each document's paragraphs; their bands' keys, and ``of``: which paragraph each key is of."""
+    width, kinds = min_run - UNIT + 1, (tune(max(similarity, EDGE), 0.8, 8), tune(similarity, 0.9995, 16))
+    seeds = mix64(np.arange(1, 1 + max(b * r for b, r in kinds), dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     @lean
     def run(batches):
-        import xxhash
-
         hasher = WordHasher()
+        line_end = hasher(["\n"])[0]
         for batch in batches:
-            row, place, h1, h2, keys = [], [], [], [], []
             for at in range(0, batch.num_rows, 128):
-                words, sizes = [], []
+                found, which = [], []
                 for k, text in enumerate(batch.column(2).slice(at, 128).to_pylist()):
-                    for j, line in enumerate(text.split("\n")):
-                        if len(w := WORD.findall(line.lower())) >= min_words:
-                            words += w
-                            sizes.append(len(w))
-                            row.append(at + k)
-                            place.append(j)
-                if not sizes:
+                    tokens = TOKEN.findall(text)
+                    if len(tokens) >= min_run:
+                        found.append(hasher("\0".join(tokens).lower().split("\0")))
+                        which.append(at + k)
+                if not found:
                     continue
-                hashed, ends = hasher(words), np.cumsum(sizes)
-                for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                    d = xxhash.xxh3_128_intdigest(hashed[a:b].tobytes())
-                    h1.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                    h2.append((d >> 64) - (1 << 63))
-                # Shingles of all paragraphs at once; those over a border are left out of the minima.
-                h, k = shingles(hashed, 5), min(5, min_words)
-                firsts = ends - sizes
-                cuts = np.stack((firsts, ends - k + 1), axis=1).ravel()
-                cuts = cuts[:-1]  # the last paragraph runs to the end
-                sig = np.empty((n_hashes, len(sizes)), np.uint64)
-                for i in range(n_hashes):
-                    m = (h ^ seeds[i]) * np.uint64(0x9E3779B97F4A7C15)
-                    m ^= m >> np.uint64(32)
-                    m *= np.uint64(0xD6E8FEB86659FD93)
-                    sig[i] = np.minimum.reduceat(m, cuts)[::2]
-                keys += list((sig >> np.uint64(32)).astype(np.uint32).T.copy().view(np.int32))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "version", "place", "h1", "h2", "least"])
-
-    return rows.mapInArrow(run, "doc_id long, version long, place int, h1 long, h2 long, least array<int>")
+                h = np.concatenate(found)
+                is_word = h != line_end
+                ends = np.cumsum([len(x) for x in found])
+                line = np.cumsum(~is_word)[is_word]  # of each word; a document's end is one too
+                words, n = h[is_word], np.diff(np.concatenate(([0], np.cumsum(is_word)[ends - 1])))
+                off, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+                if len(words) < min_run:
+                    continue
+                sh = np.append(shingles(words, SHINGLE), np.full(SHINGLE - 1, _MOST))
+                begin = starts(sh, off, np.maximum(n - SHINGLE + 1, 0), width)
+                begin = begin[begin + UNIT <= (off + n)[doc[begin]]]
+                new = np.append(True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1]))
+                first = np.flatnonzero(new)
+                long = np.diff(np.append(first, len(words)))
+                first, long = first[long >= min_run], long[long >= min_run]
+                (b0, r0), (b1, r1) = kinds
+                parts = sh[begin[:, None] + np.arange(UNIT - SHINGLE + 1)]
+                keys = [_keys(np.stack([_signature(parts, s).min(axis=1) for s in seeds[: b0 * r0]]), b0, r0, 0).ravel()]
+                key_of = [np.repeat(np.arange(len(begin)), b0)]
+                if len(first):
+                    cuts = np.stack((first, first + long - SHINGLE + 1), axis=1).ravel()
+                    keys.append(_keys(np.stack([np.minimum.reduceat(_signature(sh, s), cuts)[::2] for s in seeds[: b1 * r1]]), b1, r1, 1).ravel())
+                    key_of.append(np.repeat(np.arange(len(begin), len(begin) + len(first)), b1))
+                unit, size = np.concatenate((begin, first)), np.concatenate((np.full(len(begin), UNIT), long))
+                own = doc[unit]
+                order = np.argsort(own, kind="stable")
+                count = np.bincount(own, minlength=len(n))
+                place = np.empty(len(unit), np.int64)
+                place[order] = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
+                keys, key_of = np.concatenate(keys), np.concatenate(key_of)
+                by_doc = np.argsort(own[key_of], kind="stable")
+                key_count = np.bincount(own[key_of], minlength=len(n))
+                some = np.flatnonzero(count)
+                take = pa.array(np.array(which)[some], pa.int64())
+                lists = lambda values, counts, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts[some]))), pa.int32()), pa.array(values, kind))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(take), batch.column(1).take(take), lists((unit - off[own])[order], count, pa.int32()), lists(size[order], count, pa.int32()),
+                    lists(keys[by_doc].view(np.int64), key_count, pa.int64()), lists(place[key_of[by_doc]], key_count, pa.int32()),
+                ], ["doc_id", "version", "starts", "sizes", "keys", "of"])
+
+    return rows.mapInArrow(run, f"doc_id {_kind(rows)}, version long, starts array<int>, sizes array<int>, keys array<long>, of array<int>")
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
+def _numbered(signed: DataFrame) -> DataFrame:
+    """``signed`` (stored, with ``m``, what Spark numbered its rows when it wrote them) with ``node``: numbers without holes between tasks."""
+    parts = signed.groupBy(F.shiftright("m", 33).alias("part")).agg(F.max("m").alias("high"))  # a row for each task that wrote
+    count = F.col("high").bitwiseAND((1 << 33) - 1) + 1
+    base = parts.select("part", (F.sum(count).over(Window.orderBy("part")) - count).alias("base"))
+    return signed.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(base), "part").withColumn("node", F.col("base") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("part", "base", "m")
+
+
+def _around(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, a, doc_id, version, start, n, left, words of the wanted paragraphs: 32-bit hashes of their words and of up to ``width`` on either side (none beside lines).
+
+    ``wanted``: doc_id, version and the document's paragraphs as structs (id, a, start, n).
+    """
+    keys = wanted.select("doc_id", "version")
+    texts = rows.join(small(keys), ["doc_id", "version"], "left_semi").join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "units")
 
+    @lean
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                lists = part.column(3)
+                count, units = lists.value_lengths().to_numpy(), lists.flatten()
+                start, n = (units.field(k).to_numpy() for k in ("start", "n"))
+                low = np.where(n == UNIT, np.maximum(start - width, 0), start)
+                high = start + n + np.where(n == UNIT, width, 0)
+                words, last = [], 0
+                for text, c in zip(part.column(2).to_pylist(), count.tolist(), strict=True):
+                    raw = hasher(word_list(text)).astype(np.uint32).tobytes()
+                    words += [raw[4 * a : 4 * b] for a, b in zip(low[last : last + c].tolist(), high[last : last + c].tolist(), strict=True)]
+                    last += c
+                row = pa.array(np.repeat(np.arange(part.num_rows), count))
+                yield pa.RecordBatch.from_arrays([units.field("id"), units.field("a"), part.column(0).take(row), part.column(1).take(row), units.field("start"), units.field("n"), pa.array((start - low).astype(np.int32)), pa.array(words, pa.binary())], ["id", "a", "doc_id", "version", "start", "n", "left", "words"])
+
+    return texts.mapInArrow(run, f"id long, a long, doc_id {_kind(rows)}, version long, start int, n int, left int, words binary")
+
+
+def _set(words: np.ndarray) -> np.ndarray:
+    return np.unique(shingles(words, SHINGLE))
+
+
+def _reach(x: np.ndarray, lx: int, nx: int, y: np.ndarray, ly: int, ny: int, similarity: float) -> tuple[int, int, int, int, bool] | None:
+    """How far two paragraphs with the words beside them agree: from and to, counted from each one's first word, and whether they are equal; None if they aren't similar."""
+    u, v = x[lx : lx + nx], y[ly : ly + ny]
+    trims = (0, 0, 0, 0)
+    equal = nx == ny and u.tobytes() == v.tobytes()
+    if not equal:
+        su, sv = shingles(u, SHINGLE), shingles(v, SHINGLE)
+        hu, hv = np.isin(su, sv), np.isin(sv, su)
+        both = len(np.unique(su[hu]))
+        if both < similarity * (len(np.unique(su)) + len(np.unique(sv)) - both):
+            return None
+        pu, pv = np.flatnonzero(hu), np.flatnonzero(hv)
+        trims = int(pu[0]), len(hu) - 1 - int(pu[-1]), int(pv[0]), len(hv) - 1 - int(pv[-1])
+    left = right = 0
+    if trims[0] == trims[2] == 0 and (m := min(lx, ly)):
+        differ = np.flatnonzero(x[lx - m : lx] != y[ly - m : ly])
+        left = m - 1 - int(differ[-1]) if len(differ) else m
+    if trims[1] == trims[3] == 0 and (m := min(len(x) - lx - nx, len(y) - ly - ny)) > 0:
+        differ = np.flatnonzero(x[lx + nx : lx + nx + m] != y[ly + ny : ly + ny + m])
+        right = int(differ[0]) if len(differ) else m
+    return trims[0] - left, nx - trims[1] + right, trims[2] - left, ny - trims[3] + right, equal
+
+
+def _flat(words: pa.Array, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' words in one array; where each row's paragraph begins in it, and where the row ends."""
+    raw = words.to_pylist()
+    size = np.array([len(x) // 4 for x in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint32), np.cumsum(size) - size + left, np.cumsum(size)
+
+
+def _rows_of_shingles(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of paragraphs of UNIT words, a row each, and how many; what is left of a row holds large numbers of its own."""
+    h = np.zeros((len(units), UNIT - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE):
+        h = (h ^ units[:, i : i + h.shape[1]]) * _C
+        h ^= h >> np.uint64(29)
+    h = np.sort(mix64(h), axis=1)
+    again = np.zeros(h.shape, bool)
+    again[:, 1:] = h[:, 1:] == h[:, :-1]
+    return np.where(again, _MOST - np.arange(h.shape[1], dtype=np.uint64), h), h.shape[1] - again.sum(axis=1)
+
+
+def _similar(u: np.ndarray, v: np.ndarray, similarity: float) -> np.ndarray:
+    """Of pairs of paragraphs of UNIT words (rows), which are similar."""
+    (a, na), (b, nb) = _rows_of_shingles(u), _rows_of_shingles(v)
+    b = np.where(b > _MOST - np.uint64(64), b - np.uint64(64), b)
+    both = np.sort(np.concatenate((a, b), axis=1), axis=1)
+    shared = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+    return shared >= similarity * (na + nb - shared)
+
+
+def _alike(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many words agree from ``at`` and ``there`` on, in steps of 1 or -1, ``most`` at most."""
+    k = np.arange(int(most.max(initial=0)))[None, :]
+    ok = k < most[:, None]
+    same = ok & (x[np.where(ok, at[:, None] + step * k, 0)] == y[np.where(ok, there[:, None] + step * k, 0)])
+    return np.argmin(np.concatenate((same, np.zeros((len(at), 1), bool)), axis=1), axis=1)
+
+
+LINK = "a long, b long, a_from int, a_to int, b_from int, b_to int, equal boolean"
+
+
+def _linked(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """The links among ``pairs`` (a, id, n, left, words) and their partners' rows of ``heads``."""
+    other = heads.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("left").alias("a_left"), F.col("words").alias("a_words"))
+    joined = dealt_join(pairs.select("a", "id", "n", "left", "words"), other, "a").select("a", "id", "a_n", "a_left", "a_words", "n", "left", "words")
 
-def _sets(nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """node, shingles (sorted distinct 64-bit hashes, as bytes) of the given nodes' paragraphs. Only their ids travel, if they are few enough to broadcast."""
-    wanted = stored(heads.select("node", "doc_id", "version", "place").join(nodes, "node"), "wanted")
-    lines = rows.join(small(wanted, 1_000_000), ["doc_id", "version"]).select("node", F.element_at(F.split("text", "\n"), F.col("place") + 1).alias("line"))
+    @lean
+    def compare(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                an, al, bn, bl = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
+                (x, at, x_end), (y, there, y_end) = _flat(batch.column(4), al), _flat(batch.column(7), bl)
+                out = np.zeros((5, batch.num_rows), np.int32)
+                keep = np.zeros(batch.num_rows, bool)
+                w = np.flatnonzero((an == UNIT) & (bn == UNIT))
+                u, v = (z[p[w][:, None] + np.arange(UNIT)] for z, p in ((x, at), (y, there)))
+                equal = (u == v).all(axis=1)
+                e = w[equal]
+                left = _alike(x, at[e] - 1, y, there[e] - 1, np.minimum(al[e], bl[e]), -1)
+                right = _alike(x, at[e] + UNIT, y, there[e] + UNIT, np.minimum(x_end[e] - at[e], y_end[e] - there[e]) - UNIT, 1)
+                out[:, e], keep[e] = np.stack((-left, UNIT + right, -left, UNIT + right, np.ones(len(e), int))), True
+                near = w[~equal][_similar(u[~equal], v[~equal], similarity)]
+                for k in (*near.tolist(), *np.flatnonzero((an != UNIT) | (bn != UNIT)).tolist()):
+                    if got := _reach(x[at[k] - al[k] : x_end[k]], al[k], an[k], y[there[k] - bl[k] : y_end[k]], bl[k], bn[k], similarity):
+                        out[:, k], keep[k] = got, True
+                hit = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), *(pa.array(c[keep]) for c in out[:4]), pa.array(out[4][keep] > 0)], ["a", "b", "a_from", "a_to", "b_from", "b_to", "equal"])
+
+    return joined.mapInArrow(compare, LINK)
+
+
+def _shingled(members: DataFrame) -> DataFrame:
+    """``members`` with ``shingles``: the distinct shingles of ``words`` as bytes, sorted."""
 
     @lean
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            made = [np.unique(shingles(hasher(WORD.findall(t.lower())), 5)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+            n, left = (batch.column(k).to_numpy() for k in ("n", "left"))
+            x, at, _ = _flat(batch.column("words"), left)
+            made: list = [None] * batch.num_rows
+            w = np.flatnonzero(n == UNIT)
+            own, size = _rows_of_shingles(x[at[w][:, None] + np.arange(UNIT)])
+            for k, row, m in zip(w.tolist(), own, size.tolist(), strict=True):
+                made[k] = row[:m].tobytes() if m == len(row) else np.unique(row[row < _MOST - np.uint64(64)]).tobytes()
+            for k in np.flatnonzero(n != UNIT).tolist():
+                made[k] = _set(x[at[k] : at[k] + n[k]]).tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("bucket", "id", "root")), pa.array(made, pa.binary())], ["bucket", "id", "root", "shingles"])
 
-    return lines.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return members.mapInArrow(run, "bucket long, id long, root long, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes in ``pairs`` whose shingle sets are similar enough."""
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
+def sub_bands(members: DataFrame, similarity: float) -> DataFrame:
+    """``members`` (bucket, id, root, shingles) of large bands, dealt to sub-bands by their rarest shingles there.
+
+    Of a set of u shingles, similar sets share at least ceil(similarity * u); so, in whatever order, one of its first
+    u - ceil(similarity * u) + 1. Rarest first, sets that only share what is common in the band don't meet.
+    """
 
     @lean
-    def compare(batches):
+    def run(batches):
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                if both >= similarity * (len(u) + len(v) - both):
-                    keep.append(k)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            sets = [np.frombuffer(b, np.int64) for b in batch.column("shingles").to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(take), batch.column("id").take(take), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["bucket", "id", "shingle"])
 
-    return joined.select("a", "b", "u", "v").mapInArrow(compare, "a long, b long")
+    each = members.select("bucket", "id", "shingles").mapInArrow(run, "bucket long, id long, shingle long")
+    each = stored(each.select("bucket", "id", "shingle", F.xxhash64("bucket", "shingle").alias("sub")), "shingles")
+    often = stored(each.groupBy("sub").agg(F.count("*").alias("often")), "often")
+    own = Window.partitionBy("bucket", "id")  # as many rows as the paragraph has shingles
+    ranked = dealt_join(each, often, "sub").withColumn("rank", F.row_number().over(own.orderBy("often", "sub"))).withColumn("u", F.count("*").over(own))
+    first = ranked.filter((F.col("often") > 1) & (F.col("rank") <= F.col("u") - F.ceil(F.col("u") * F.lit(similarity).cast("decimal(9,6)")) + 1))
+    out = stored(first.select("bucket", "id", "sub"), "sub-bands")
+    return out.join(members, ["bucket", "id"]).select(F.col("sub").alias("bucket"), "id", "root", "shingles")
 
 
-def _met(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
-    """Links (a, b) that join the components of each bucket's ``members`` (bucket, doc_id, root, shingles).
+def _met(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, id) that join the components of each bucket's ``members`` (bucket, id, root, shingles).
 
     Exact for all pairs of two blocks at once: shared shingles are counted by a matrix product over the shingles that more than one
     member has. Only links come out, and no more than join what was apart in the group.
@@ -125,9 +368,6 @@ def _met(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
         ids, roots, own = group.column("doc_id").to_pylist(), group.column("root").to_pylist(), group.column("own").to_numpy()
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        if len(ids) == 2:  # most groups
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            return [tuple(sorted(ids))] if both >= similarity * (len(sets[0]) + len(sets[1]) - both) else []
         size = np.array([len(s) for s in sets], dtype=np.float32)
         kinds, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
@@ -166,49 +406,185 @@ def _met(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
         for group in runs_of(batches, ["bucket", "x", "y"]):
             if group.num_rows > 1:
                 made += links(group)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.int64()) for k in (0, 1)], ["a", "id"])
+
+    dealt = dealt_blocks(members.withColumnRenamed("id", "doc_id"), BLOCK).select("bucket", "x", "y", "own", "doc_id", "root", "shingles").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id")
+    return dealt.mapInArrow(compare, "a long, id long").distinct()
+
+
+def _apart_links(company: DataFrame, roots: DataFrame, around: DataFrame, similarity: float) -> DataFrame | None:
+    """Links between what stands apart in a band after each paragraph was verified against one other; None if nothing does."""
+    members = stored(apart(company.select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id"), "apart")
+    if members.isEmpty():
+        return None
+    members = stored(_shingled(members.join(around.select("id", "n", "left", "words"), "id")), "members")
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > LARGE), "large")
+    several = members
+    if not sizes.isEmpty():
+        split = dealt_join(members, sizes, "bucket", "left")
+        few, many = split.filter("many is null").drop("many"), stored(split.filter("many is not null").drop("many"), "many")
+        dealt = stored(sub_bands(many, similarity), "dealt")
+        held = apart(dealt.select("bucket", F.col("id").alias("doc_id")), roots).select("bucket", F.col("doc_id").alias("id"))
+        several = few.unionByName(dealt.join(stored(held, "held"), ["bucket", "id"]).select(few.columns))
+    pairs = stored(_met(stored(several, "several"), similarity), "pairs")
+    if pairs.isEmpty():
+        return None
+    return _linked(pairs.join(around.select("id", "n", "left", "words"), "id"), stored(around.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "heads"), similarity)
+
+
+def _long_runs(links: DataFrame, roots: DataFrame, around: DataFrame, min_run: int) -> DataFrame | None:
+    """doc_id, version, from, to, of: runs of ``min_run`` words around members of components that a partner's shorter passage may have hidden."""
+    short = links.filter(F.col("equal") & (F.col("b_to") - F.col("b_from") < min_run)).select(F.col("b").alias("node"))
+    which = stored(roots.join(short.distinct(), "node").select("root").distinct(), "short")
+    if which.isEmpty():
+        return None
+    members = stored(dealt_join(roots, which, "root").withColumnRenamed("node", "id"), "in-short")
+    held = around.filter(F.col("n") == UNIT).join(members, "id").select("root", "doc_id", "version", "start", "left", "words")
 
-    dealt = dealt_blocks(members, block).select("bucket", "x", "y", "own", "doc_id", "root", "shingles").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    @lean
+    def run(batches):
+        import xxhash
 
+        for batch in batches:
+            row, at, key = [], [], []
+            for k, (root, start, left, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "start", "left", "words")), strict=True)):
+                seed = root & 0xFFFFFFFFFFFFFFFF
+                for j in range(max(0, left + UNIT - min_run), min(left, len(words) // 4 - min_run) + 1):
+                    row.append(k)
+                    at.append(start - left + j)
+                    key.append(xxhash.xxh3_64_intdigest(words[4 * j : 4 * (j + min_run)], seed) - (1 << 63))
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at, pa.int32())], ["key", "doc_id", "version", "at"])
+
+    each = stored(held.mapInArrow(run, f"key long, doc_id {_kind(around)}, version long, at int"), "runs")
+    one = F.struct("doc_id", "version")
+    again = each.groupBy("key").agg(F.min(F.struct("doc_id", "version", "at")).alias("of"), F.max(one).alias("last")).filter((F.col("of.doc_id") != F.col("last.doc_id")) | (F.col("of.version") != F.col("last.version")))
+    found = dealt_join(each, stored(again.select("key", "of"), "again"), "key").filter((F.col("doc_id") != F.col("of.doc_id")) | (F.col("version") != F.col("of.version")))
+    return found.select("doc_id", "version", F.col("at").alias("from"), (F.col("at") + min_run).alias("to"), F.struct(F.col("of.doc_id").alias("doc_id"), F.col("of.at").alias("start")).alias("of"))
+
+
+def repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, version (a hash of the text), cut: the runs of words (from, to, and where the first repeat in it first occurs) that repeat an earlier document's."""
+    if min_run < UNIT + 10:
+        raise ValueError(f"min_run must be {UNIT + 10} words or more")
+    width = min_run - UNIT
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
+    signed = stored(_signed(rows, min_run, similarity).withColumn("m", F.monotonically_increasing_id()), "paragraphs")
+    if not signed.groupBy("doc_id", "version").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rows, twice = rows.dropDuplicates(["doc_id", "version"]), signed
+        signed = stored(twice.groupBy("doc_id", "version").agg(F.min_by(F.struct("starts", "sizes", "keys", "of"), "m").alias("x")).select("doc_id", "version", "x.*").withColumn("m", F.monotonically_increasing_id()), "paragraphs")
+        release(twice)
+    numbered = _numbered(signed)
+    # Bands that come twice, then their members.
+    twice = stored(signed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bands")
+    members = numbered.select("node", F.explode(F.arrays_zip("keys", "of")).alias("x")).select(F.col("x.keys").alias("bucket"), (F.shiftleft("node", BITS) + F.col("x.of")).alias("id"))
+    shared = stored(members.join(small(twice), "bucket"), "shared")
+    firsts = shared.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.shiftright("first", BITS) != F.shiftright("last", BITS)).select("bucket", "first")
+    company = stored(dealt_join(shared, stored(firsts, "firsts"), "bucket"), "company")
+    release(twice, shared)
+    # One partner each, of another document.
+    partner = company.groupBy("id", "first").agg(F.count("*").alias("n")).withColumn("other", F.shiftright("first", BITS) != F.shiftright("id", BITS))
+    partner = partner.groupBy("id").agg(F.max_by(F.when(F.col("other"), F.col("first")), F.struct("other", "n", -F.col("first"))).alias("a"))
+    units = stored(partner.groupBy(F.shiftright("id", BITS).alias("node")).agg(F.collect_list(F.struct("id", "a")).alias("units")), "units")
+    place = lambda u: u["id"].bitwiseAND((1 << BITS) - 1).cast("int")
+    wanted = numbered.select("node", "doc_id", "version", "starts", "sizes").join(units, "node")
+    wanted = stored(wanted.select("doc_id", "version", F.transform("units", lambda u: F.struct(u["id"].alias("id"), u["a"].alias("a"), F.get("starts", place(u)).alias("start"), F.get("sizes", place(u)).alias("n"))).alias("units")), "wanted")
+    release(signed, units)
+    around = stored(_around(rows, wanted, width), "around")
+    release(wanted)
+    pairs = around.filter("a is not null")
+    heads = stored(around.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "heads")
+    links = stored(_linked(pairs, heads, similarity), "links")
+    release(heads)
+    roots = stored(components(links.select("a", "b")), "roots")
+    if (more := _apart_links(company, roots, around, similarity)) is not None:
+        links = stored(links.unionByName(more), "links")
+        roots = stored(components(links.select("a", "b")), "roots")
+    # Repeats: members of components that aren't in the first document of theirs, as far as their links reach.
+    sides = links.select(F.col("a").alias("node"), F.col("a_from").alias("from"), F.col("a_to").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("b_from").alias("from"), F.col("b_to").alias("to")))
+    reach = sides.groupBy("node").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(roots, "node").withColumnRenamed("node", "id")
+    several = stored(around.select("id", "doc_id", "version", "start").join(reach, "id"), "several")
+    first = stored(several.groupBy("root").agg(F.min(F.struct("doc_id", "version", "start")).alias("of")), "passages")
+    found = dealt_join(several, first, "root").filter((F.col("doc_id") != F.col("of.doc_id")) | (F.col("version") != F.col("of.version")))
+    found = found.select("doc_id", "version", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"), F.struct("of.doc_id", "of.start").alias("of"))
+    if (hidden := _long_runs(links, roots, around, min_run)) is not None:
+        found = found.unionByName(hidden)
+    lists = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("from", "to", "of")).alias("found"))
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, version (a hash of the text), place (line, from 0), passage of every paragraph that repeats an earlier one.
+    @lean
+    def join_runs(batches):
+        for batch in batches:
+            pieces = batch.column(2).flatten()
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            begin, end = (pieces.field(k).to_numpy().astype(np.int64) for k in ("from", "to"))
+            order = np.lexsort((end, begin, row))
+            row, begin, end, pieces = row[order], begin[order], end[order], pieces.take(pa.array(order))
+            wide = int(end.max(initial=0)) + GAP + 2
+            reach = np.maximum.accumulate(end + row * wide)  # rows one after the other, too far apart to touch
+            new = np.append(True, begin[1:] + row[1:] * wide > reach[:-1] + GAP)[: len(row)]
+            first = np.flatnonzero(new)
+            begin, row = begin[first], row[first]
+            end = (reach[np.append(first[1:], len(reach)) - 1] if len(first) else reach[:0]) - row * wide
+            long = end - begin >= min_run
+            begin, end, row, of = begin[long], end[long], row[long], pieces.field("of").take(pa.array(first[long]))
+            some, count = np.unique(row, return_counts=True)
+            kind = batch.schema.field(2).type
+            runs = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), of], fields=list(kind.value_type))
+            cut = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), runs)
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), cut], ["doc_id", "version", "cut"])
+
+    cut = lists.mapInArrow(join_runs, f"doc_id {_kind(rows)}, version long, cut array<struct<`from`:int,`to`:int,of:struct<doc_id:{_kind(rows)},start:int>>>")
+    out = stored(cut, "cuts")
+    release(links, roots, around, company, several, first)
+    return out
+
+
+def cut_repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", cuts_col: str = "cuts") -> DataFrame:
+    """``docs`` with repeated passages cut from the text, and ``cuts_col`` (a longer name if that is taken): where they stood (characters) and where they first
+    occur (document and word). A cut takes the punctuation and space after its last word along, so that what stood before and after join."""
+    cuts = repeats(docs, min_run, similarity, id_col, text_col)
+    key, version, cut, name = (free_name(docs, n) for n in ("__id", "__version", "__cut", cuts_col))
+    cuts = cuts.select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("cut").alias(cut))
+    rows = docs.withColumn(version, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn(key, F.col(id_col))
+    rows = rows.join(small(cuts), [key, version], "left").select(*docs.columns, cut)
+    at = rows.columns.index(text_col)
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    kind = f"array<struct<start:int,`end`:int,of:struct<doc_id:{id_kind},start:int>>>"
 
-    ``passage``: the document and line of its first occurrence (by id, then line, then version).
-    """
-    n_bands, depth = tune(similarity)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
-    found = stored(_signed(rows, min_words, n_bands * depth), "paragraphs")
-    groups = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "version", "least")).alias("head"), F.count("*").alias("n"))
-    heads = stored(groups.select("h1", "h2", "n", "head.*", F.monotonically_increasing_id().alias("node")), "heads")
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("least")[b * depth + k] for k in range(depth))) for b in range(n_bands)))
-    banded = heads.select("node", F.explode(bands).alias("bucket"))
-    firsts = stored(banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-    shared = stored(banded.join(small(firsts), "bucket"), "shared")  # rows of buckets with company
-    partner = shared.filter("first <> node").groupBy("node", "first").agg(F.count("*").alias("n")).groupBy("node").agg(F.min_by("first", F.struct(-F.col("n"), "first")).alias("a"))
-    partner = stored(partner.select("a", F.col("node").alias("b")), "partners")
-    sets = stored(_sets(shared.select("node").distinct(), rows, heads), "sets", gather=False)
-    links = stored(_verified(partner, sets, similarity), "links")
-    roots = components(links)
-    members = apart(shared.select("bucket", F.col("node").alias("doc_id")), roots).join(sets.withColumnRenamed("node", "doc_id"), "doc_id")
-    more = stored(_met(stored(members, "members", gather=False), similarity), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    several = heads.select("h1", "h2", "n", "node", "doc_id", "place", "version").join(roots, "node", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
-    first = several.groupBy("root").agg(F.min(F.struct("doc_id", "place", "version")).alias("passage"))
-    passages = stored(several.join(first, "root").select("h1", "h2", "passage"), "passages")
-    out = found.select("doc_id", "version", "place", "h1", "h2").join(small(passages), ["h1", "h2"])
-    return out.filter(F.struct("doc_id", "place", "version") != F.col("passage")).select("doc_id", "version", "place", F.struct("passage.doc_id", "passage.place").alias("passage")).distinct()
-
-
-def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut from the text, and ``cut_places``, ``cut_passages``: the lines that went and what they repeat."""
-    gone = repeats(docs, min_words, similarity, id_col, text_col).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("place", "passage"))).alias("cut"))
-    gone = stored(gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("cut.place").alias("cut_places"), F.col("cut.passage").alias("cut_passages")), "cuts")
-    out = docs.withColumn("__v", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.join(gone, (out[id_col].cast("long") == gone["__id"]) & (out["__v"] == gone["__version"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("cut_places", i)), "\n")
-    out = out.withColumn(text_col, F.when(F.col("cut_places").isNull(), F.col(text_col)).otherwise(kept))
-    empty = lambda c, kind: F.coalesce(F.col(c), F.from_json(F.lit("[]"), kind)).alias(c)
-    return out.select(*docs.columns, empty("cut_places", "array<int>"), empty("cut_passages", "array<struct<doc_id:long,place:int>>"))
+    @lean
+    def run(batches):
+        for batch in batches:
+            texts, runs = batch.column(at), batch.column(len(batch.schema) - 1)
+            where = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            made, spans = {}, [[] for _ in range(batch.num_rows)]
+            for k in where:
+                made[k], spans[k] = without(texts[k].as_py(), runs[k].as_py())
+            if made:
+                new = texts.to_pylist()
+                for k, t in made.items():
+                    new[k] = t
+                texts = pa.array(new, texts.type)
+            span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("of", runs.type.value_type.field("of").type)]))
+            columns = [texts if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span_kind)], [*batch.schema.names[:-1], name])
+
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    return rows.mapInArrow(run, StructType([*docs.schema.fields]).add(name, _parse_datatype_string(kind)))
+
+
+_after = re.compile(r"[^\w\s]*\s*")
+
+
+def without(text: str, runs: list[dict]) -> tuple[str, list[dict]]:
+    """The text without the runs of words, and the characters that went."""
+    words = [m.span() for m in WORD.finditer(text)]
+    spans, kept, last = [], [], 0
+    for r in runs:
+        start = words[r["from"]][0] if r["from"] else 0
+        end = _after.match(text, words[r["to"] - 1][1]).end() if r["to"] < len(words) else len(text)
+        spans.append({"start": start, "end": end, "of": r["of"]})
+        kept.append(text[last:start])
+        last = end
+    return "".join([*kept, text[last:]]), spans

@@ -7,7 +7,6 @@ from hypothesis import strategies as st
 from pagelake.llm import near_dedup as N
 from pagelake.llm.components import components
 from pagelake.llm.near_dedup import deduplicate, edits, near_classes
-from pagelake.llm.substring_dedup import cut_repeats, tune
 
 from .helpers import documents, odd_rows
 
@@ -112,59 +111,6 @@ def test_a_family_of_near_copies_and_a_common_passage(spark):
     assert all(got[k] == 0 for k in range(200)) and all(got[1000 + k] == 1000 + k for k in range(150))
 
 
-def test_bands_reach_their_recall():
-    bands, rows = tune(0.8, 0.9995, 16)
-    assert bands * rows <= 16 and 1 - (1 - 0.8**rows) ** bands >= 0.9995 and rows > 1
-
-
-def test_repeated_passages_are_cut_but_for_the_first(spark):
-    rows = odd_rows()
-    out = cut_repeats(documents(spark))
-    got = {(r.doc_id, r.text) for r in out.collect()}
-    assert out.count() == len(rows) and out.columns[: len(documents(spark).columns)] == documents(spark).columns
-    text = {i: t for i, t in got}
-    source = {r[0]: r[1] for r in rows}
-    lines = source[10].split("\n")
-    assert text[10] == source[10] and text[11] == source[11].split("\n")[1] and text[12] == source[12].split("\n")[0]
-    assert text[5] == source[5] and text[6] == "" and text[8] == "" and text[7] == ""  # copies and a near copy of 5
-    assert text[1] is None and text[2] == "" and text[14] == source[14] and len(lines) == 3
-    assert cut_repeats(documents(spark, [])).count() == 0
-
-
-def test_near_passages_equal_brute_force(spark):
-    rnd = random.Random(9)
-    word = lambda: f"w{rnd.randrange(3000)}"
-    base = [[word() for _ in range(rnd.randrange(12, 90))] for _ in range(25)]
-    rows, sets = [], []
-    for i in range(120):
-        lines = []
-        for _ in range(3):
-            t = list(rnd.choice(base)) if rnd.random() < 0.6 else [word() for _ in range(30)]
-            for _ in range(rnd.randrange(3)):
-                t[rnd.randrange(len(t))] = word()
-            lines.append(" ".join(t))
-            sets.append(((i, len(lines) - 1), {tuple(t[k : k + 5]) for k in range(len(t) - 4)}))
-        rows.append((i, "\n".join(lines)))
-    root = {x: x for x, _ in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, (x, u) in enumerate(sets):
-        for y, v in sets[:k]:
-            if len(u & v) >= 0.8 * len(u | v):
-                a, b = sorted((find(x), find(y)))
-                root[b] = a
-    want = {}
-    for x in root:
-        if find(x) != x:
-            want.setdefault(x[0], []).append(x[1])
-    got = {r.doc_id: sorted(r.cut_places) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.cut_places}
-    assert got == {i: sorted(p) for i, p in want.items()}
-
-
 def test_pairs_within_the_edits_are_linked_however_few_minima_agree(spark):
     """A text and its copy with every tenth word changed, where the text's partner is a longer one that holds it."""
     rnd = random.Random(6)
@@ -225,11 +171,3 @@ def test_blocks_hold_all_pairs_of_several_components_once(spark):
         met.setdefault((r.bucket, r.x, r.y), []).append(r)
     pairs = [(b, *sorted((p.doc_id, q.doc_id))) for (b, x, y), g in met.items() for i, p in enumerate(g) for j, q in enumerate(g) if p.own == x and q.own == y and (i < j if x == y else True) and p.root != q.root]
     assert sorted(pairs) == sorted((b, i, j) for b, i, r in rows for c, j, s in rows if b == c and i < j and r != s)
-
-
-def test_a_drifting_passage_is_one(spark):
-    texts = drifting(random.Random(12), 4, 100, 60, 1)
-    sets = [{tuple(t[k : k + 5]) for k in range(56)} for t in texts]
-    whole = joined(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
-    got = {r.doc_id for r in cut_repeats(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect() if r.cut_places}
-    assert got == {k for k, r in enumerate(whole) if k != r}
