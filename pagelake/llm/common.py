@@ -69,12 +69,16 @@ def scope() -> Iterator[list[str]]:
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders of stored tables, and lets Spark clean up the shuffles that nothing refers to any more."""
-    jvm = spark._jvm
+    jvm, size = spark._jvm, 0
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    jvm.System.gc()
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            size += fs.getContentSummary(at).getLength()
+            fs.delete(at, True)
+    if size > 16 << 20:
+        gc.collect()
+        jvm.System.gc()
 
 
 def release(*tables: DataFrame) -> None:
@@ -92,6 +96,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def least(n: int, take: int) -> int:
+    """A bound on 64-bit hashes of n rows under which at least ``take`` of them lie (short of a chance of one in 10^9), and few more: what is sorted for a sample is then as small as the sample."""
+    share = (take + 7 * take**0.5 + 20) / max(1, n)
+    return (1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -141,6 +151,15 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield held
 
 
+WORD = re.compile(r"\w+")
+
+
+def word_list(text: str) -> list[str]:
+    """Lower-cased words, one for each match of WORD in the text as it is (so that they can be found there again, also where lower case has other lengths)."""
+    words = WORD.findall(text)
+    return "\0".join(words).lower().split("\0") if words else []
+
+
 class WordHasher:
     """64-bit hashes of words, the first of which are remembered, up to a bound."""
 

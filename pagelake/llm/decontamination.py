@@ -5,11 +5,12 @@ if at least ``threshold`` of the item's shingles are in it, however long the doc
 partitioned by size (the number of their shingles); the size decides how many of its smallest shingle
 hashes an item's MinHash sketch keeps: with q shingles, q - ceil(threshold * q) + 1. A document that holds the
 item lacks fewer than that, so it has at least one of them: the search loses no pair. Documents are
-not sketched, since in a long one the few shingles of an item would seldom be minima. Pairs that share a
-sketch hash are candidates and are verified on the shingles themselves.
+not sketched, since in a long one the few shingles of an item would seldom be minima. Each document is searched for the items of
+the partitions that it is long enough to hold. Pairs that share a sketch hash are candidates and are verified on the shingles themselves.
 
 Defined cases: null and empty texts, and texts under five words, have no shingles: such items are held
-nowhere and such documents hold nothing. Of rows that repeat an id, the row that holds most counts.
+nowhere and such documents hold nothing. Of rows that repeat an id, the row that holds most counts. Very long texts are searched whole, at a
+cost by their length; empty tables give empty results; columns other than id and text aren't read, whatever their names. Rows without an id are in no pair.
 """
 
 from __future__ import annotations
@@ -52,10 +53,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     own = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     held = stored(sketches(items, threshold, item_id_col, item_text_col), "items")
     least = held.agg(F.min(F.ceil(F.size("shingles") * F.lit(threshold).cast("decimal(9,6)")))).first()[0] or 0
-    search = small(held.select("item_id", F.explode("sketch").alias("h")))
-    seen = own.filter(F.size("w") >= int(least) + WORDS - 1).select("doc_id", F.explode(hashes(F.col("w"))).alias("h"))
-    candidates = stored(seen.join(search, "h").select("doc_id", "item_id").distinct(), "candidates")
-    pairs = own.join(small(candidates), "doc_id").join(small(held.select("item_id", "shingles"), 20_000), "item_id")
+    search = small(stored(held.select("item_id", "size_class", F.explode("sketch").alias("h")), "sketches"))
+    # A document meets the partitions of items that it is long enough to hold: of class c, 2^c shingles or more, by threshold.
+    top = F.floor(F.log2((F.size("w") - (WORDS - 1)) / F.lit(float(threshold))) + 1e-9).cast("int")
+    seen = own.filter(F.size("w") >= int(least) + WORDS - 1).select("doc_id", top.alias("top"), F.explode(hashes(F.col("w"))).alias("h"))
+    candidates = stored(seen.join(search, "h").filter("size_class <= top").select("doc_id", "item_id").distinct(), "candidates")
+    pairs = own.join(small(candidates), "doc_id").join(small(held.select("item_id", "shingles")), "item_id")
     q, shared = F.size("shingles"), F.size(F.array_intersect("shingles", _runs(F.col("w"), lambda x: F.concat_ws(" ", *x))))
     found = pairs.select("doc_id", "item_id", q.cast("long").alias("n_shingles"), shared.cast("long").alias("shared"))
     found = found.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("shared").alias("shared"))

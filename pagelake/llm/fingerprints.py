@@ -6,8 +6,9 @@ buckets of several documents the canonical bytes are compared with those of the
 and a document that differs from it gets a digest of its own (the bucket and a SHA-256). So documents
 have the same digest exactly if their canonical forms are the same.
 
-A null text is empty; empty texts and texts of white space share a digest. Rows that repeat an id are
-documents of their own, in the order of their texts. An empty table gives an empty result.
+Defined cases: a null text is empty; empty texts and texts of white space share a digest. Rows that repeat an id are
+documents of their own, in the order of their texts; null ids come first; ids are of any type that has an order. Very long texts are digested
+whole. An empty table gives an empty result; columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,24 +67,49 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     return out.select("doc_id", *(["text"] if keep_text else []), "digest")
 
 
+def _ranges(rows: DataFrame, each: int) -> DataFrame:
+    """doc_id, at: ids in ascending order cut into ranges of about ``each`` rows, whatever the ids are and however they lie. Only ids and counts move."""
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    placed = stored(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("rows"))  # a row for each partition
+    base = F.broadcast(parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("base")))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("doc_id")) - F.col("n")
+    return stored(placed.join(base, "part").select("doc_id", F.floor((F.col("base") + before) / each).cast("long").alias("at")), "ranges")
+
+
 def with_next(rows: DataFrame, *columns: str, each: int = 4096) -> DataFrame:
-    """Adds ``next_<column>`` of the following row by ascending doc_id (then text); after the last comes the first.
+    """Adds ``next_<column>`` of the following row by ascending doc_id (nulls first; then text); after the last comes the first.
 
     Ids are cut into ranges of about ``each`` rows. Each range also gets the first row of the range after it, so one
-    shuffle and a window inside each range suffice, and no task sees the whole table.
+    shuffle and a window inside each range suffice, and no task sees the whole table. Ranges are of equal width where whole numbers
+    lie so evenly that none holds many more rows than another; else they are of equal counts, at the cost of a join.
     """
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not count:
+    kind = rows.schema["doc_id"].dataType.typeName()
+    even, at = False, None
+    if kind in ("byte", "short", "integer", "long"):
+        low, high, count, known = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
+        if not count:
+            return rows.select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns))
+        if known == count:
+            wide = max(1, (high - low + 1) * each // count)
+            at = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(wide)).cast("long")
+            even = rows.groupBy(at.alias("at")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 8 * each
+    if even:
+        placed = rows.withColumn("at", at)
+        first = stored(rows.groupBy(at.alias("at")).agg(F.min("doc_id").alias("doc_id")), "firsts")  # a row for each range
+    else:
+        ranges = _ranges(rows, each)
+        other = ranges.withColumnRenamed("doc_id", "ranged")
+        placed = rows.join(other, rows["doc_id"].eqNullSafe(other["ranged"])).drop("ranged")
+        first = stored(ranges.groupBy("at").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("doc_id")), "firsts")
+    # The range before each range's first row: ranges' numbers have gaps, and the first follows the last.
+    last = first.agg(F.max("at")).first()[0]
+    if last is None:
         return rows.select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns))
-    wide = max(1, (high - low + 1) * each // count)
-    ranges = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(wide)).cast("long")
-    first = rows.groupBy(ranges.alias("at")).agg(F.min("doc_id").alias("doc_id"))  # a row for each range
     order = Window.orderBy("at")
-    before = first.select("doc_id", F.lag("at").over(order).alias("lag")).withColumn("before", F.coalesce("lag", F.lit(int((high - low) // wide))))
-    before = before.select("doc_id", "before")
-    if (high - low) // wide < 500_000:  # so many ranges at most
-        before = F.broadcast(before)
-    dealt = rows.select("*", ranges.alias("at"), F.lit(0).alias("guest")).unionByName(rows.join(before, "doc_id").withColumnRenamed("before", "at").withColumn("guest", F.lit(1)))
+    before = first.select(F.col("doc_id").alias("__first"), F.coalesce(F.lag("at").over(order), F.lit(last)).alias("__before"))
+    guests = rows.join(small(stored(before, "guests")), rows["doc_id"].eqNullSafe(F.col("__first"))).drop("__first").withColumnRenamed("__before", "at").withColumn("guest", F.lit(1))
+    dealt = placed.withColumn("guest", F.lit(0)).unionByName(guests)
     own = Window.partitionBy("at").orderBy("guest", "doc_id", "text")
     return dealt.select("*", *(F.lead(c).over(own).alias(f"next_{c}") for c in columns)).filter("guest = 0").drop("at", "guest")
 

@@ -6,9 +6,10 @@ rules with weights; the kept rules are compiled to one Spark column expression,
 scored. The fit reads at most ``max_fit_rows`` labelled rows (those with the smallest id hashes);
 statistics and scores cover every row.
 
-Defined cases: a null text is empty, its statistics are 0, and it is scored by them as any other; rows
+Defined cases: a null text is empty, an empty text's statistics are 0, and it is scored by them as any other; rows
 with the same id are scored each; a label counts for all rows with its id; labels without a document are
-not used; with no labels, or labels of one class, the score is that class's share (0.5 with none).
+not used; with no labels, or labels of one class, the score is that class's share (0.5 with none); very long texts are counted whole; ties
+in the sample go by id; an empty table gives an empty one; columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,22 +20,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, stored
+from .common import held_out, id_text, least, stored
 
-STATISTICS = ("chars", "words", "word_chars", "long_word", "distinct_words", "first_words", "distinct_lines", "lines", "letters", "capitals", "digits", "spaces", "stops", "commas", "bars", "marks", "runs")
+STATISTICS = ("chars", "words", "word_chars", "long_word", "distinct_words", "near_words", "distinct_lines", "lines", "letters", "capitals", "digits", "spaces", "stops", "commas", "bars", "marks", "runs")
+
+#: Words among which near repetition is counted.
+WINDOW = 200
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of ``doc_id, text`` rows."""
-    rows = docs.select("doc_id", "text", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"), F.split("text", "\n").alias("l"))
+    none = F.array().cast("array<string>")
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = docs.select("doc_id", "text", F.when(flat == "", none).otherwise(F.split(flat, " ")).alias("w"), F.when(F.col("text") == "", none).otherwise(F.split("text", "\n")).alias("l"))
     n, words, lines = F.length("text"), F.size("w"), F.size("l")
     of = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
     without = lambda pattern: n - F.length(F.regexp_replace("text", pattern, ""))
     count = lambda c: n - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
-    head = F.slice("w", 1, 200)
+    # The share of distinct words in each run of WINDOW words, over all runs of the text.
+    distinct = F.aggregate(F.sequence(F.lit(0), F.floor((F.greatest(words, F.lit(1)) - 1) / WINDOW).cast("int")), F.lit(0), lambda k, i: k + F.size(F.array_distinct(F.slice("w", i * WINDOW + 1, WINDOW))))
     cols = {
         "chars": F.log1p(n), "words": F.log1p(words), "word_chars": of(n, words), "long_word": F.log1p(F.array_max(F.transform("w", F.length))),
-        "distinct_words": of(F.size(F.array_distinct("w")), words), "first_words": of(F.size(F.array_distinct(head)), F.size(head)), "distinct_lines": of(F.size(F.array_distinct("l")), lines), "lines": of(lines, words),
+        "distinct_words": of(F.size(F.array_distinct("w")), words), "near_words": of(distinct, words), "distinct_lines": of(F.size(F.array_distinct("l")), lines), "lines": of(lines, words),
         "letters": of(without(r"\p{L}+"), n), "capitals": of(without(r"\p{Lu}+"), n), "digits": of(without(r"\p{N}+"), n), "spaces": of(words, n),
         "stops": of(count("."), words), "commas": of(count(","), words), "bars": of(count("|"), words), "marks": of(without(r"[^\p{L}\p{N}\s.,|]+"), n), "runs": of(without(r"([^\s\p{L}])\1{2,}"), n),
     }
@@ -139,7 +146,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
 def train(stats: DataFrame, labels: DataFrame, label_col: str, max_fit_rows: int = 20_000) -> Rules:
     """``labels``: doc_id and a 0/1 column. Held-out ids are not read."""
     known = labels.filter(~held_out()).select("doc_id", F.col(label_col).cast("double").alias("label")).dropna().dropDuplicates(["doc_id"])
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
+    rows = stats.join(known, "doc_id").withColumn("at", F.xxhash64("doc_id"))
+    sample = rows.filter(F.col("at") <= least(rows.count(), max_fit_rows)).orderBy("at", "doc_id").limit(max_fit_rows)
     got = np.array([tuple(r) for r in sample.select(*STATISTICS, "label").collect()], dtype=float).reshape(-1, len(STATISTICS) + 1)
     return fit(got[:, :-1], got[:, -1])
 

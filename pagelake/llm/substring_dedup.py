@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHasher, dealt_join, free_name, lean, mix64, release, runs_of, shingles, small, stored
+from .common import WORD, WordHasher, dealt_join, free_name, lean, mix64, release, runs_of, shingles, small, stored, word_list
 from .components import components
 from .near_dedup import apart, dealt_blocks
 
-TOKEN, WORD = re.compile(r"\w+|\n"), re.compile(r"\w+")
+TOKEN = re.compile(r"\w+|\n")
 MIN_RUN, SIMILARITY, UNIT, SHINGLE = 50, 0.8, 21, 5
 #: Similarity of two paragraphs of UNIT words that differ in an end word: 16 of 18 shingles. Any other difference takes it under 0.8.
 EDGE = 0.88
@@ -55,12 +55,6 @@ def tune(similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 1
     return max(((hashes // r, r) for r in range(1, hashes + 1) if 1 - (1 - similarity**r) ** (hashes // r) >= recall), key=lambda x: x[1], default=(hashes, 1))
 
 
-def word_list(text: str) -> list[str]:
-    """Lower-cased words, one for each match of WORD in the text as it is."""
-    words = WORD.findall(text)
-    return "\0".join(words).lower().split("\0") if words else []
-
-
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by doubling."""
     size = 1

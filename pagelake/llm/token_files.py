@@ -13,7 +13,9 @@ The id columns beside it give random access: a reader finds a document's block b
 ``last_id`` and unpacks only its ids, all at once, with numpy.
 
 Order: blocks by ascending document id, shard by shard; documents with the same id by their text. A null
-text is an empty one (it has the end id alone). An empty table gives files without blocks.
+text is an empty one (it has the end id alone). An empty table gives files without blocks. Texts of any length are encoded whole; a block is
+as long as its last document. Columns other than id and text aren't read, whatever their names. (The row a shard that is broadcast is
+one for each file that was written.)
 """
 
 from __future__ import annotations
@@ -133,7 +135,7 @@ def read_token_files(spark: SparkSession, at: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field("doc_ids").type.value_type), pa.array(cut[:-1] + (base + start)), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.join(base, "shard").select("base", "start", "doc_ids", "data").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(F.broadcast(base), "shard").select("base", "start", "doc_ids", "data").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_document(spark: SparkSession, at: str, doc_id) -> list[np.ndarray]:

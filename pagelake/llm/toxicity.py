@@ -12,13 +12,13 @@ The fit reads at most ``max_fit_docs`` labelled documents of each class (those w
 every document is scored over its whole text.
 
 Defined cases: a null text is empty; a text without words has the score of no evidence, no spans; rows with the
-same id are scored each; a label counts for all rows with its id; without labels of both classes all
-scores are the share of toxic labels (0 with none).
+same id are scored each; a label counts for all rows with its id, one of a repeated label's rows is taken, and labels without a document are not
+used; without labels of both classes all scores are the share of toxic labels (0 with none); very long texts are scored whole, in
+batches of words; ties in the sample go by id; an empty table gives an empty one; columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, lean
+from .common import WORD, held_out, id_text, lean, least, stored, word_list
 
-WORD = re.compile(r"\w+")
 BITS = 18
 CHUNK = 64
 
@@ -211,7 +210,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds:
         p = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6)) if len(toxic) else 1e-6
         return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), float(np.log(p / (1 - p))), np.zeros(4))
     kinds: dict[str, int] = {}
-    ids = [np.array([kinds.setdefault(x, len(kinds)) for x in WORD.findall(t.lower())], dtype=np.int32) for t in texts]
+    ids = [np.array([kinds.setdefault(x, len(kinds)) for x in word_list(t)], dtype=np.int32) for t in texts]
     part = np.array([zlib.crc32(t.encode()) % 3 != 0 for t in texts])  # two thirds fit the field; equal texts stay together
     if not (toxic & part).any() or not (~toxic & part).any() or not (toxic & ~part).any() or not (~toxic & ~part).any():
         part[:] = True
@@ -272,9 +271,10 @@ def marginals(field: Field, words: list[str], starts: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_fit_docs: int = 1500) -> Field:
     """``docs``: doc_id, text. Held-out ids are not read."""
-    known = labels.filter(~held_out()).select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    known = labels.filter(~held_out()).select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"]).join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = stored(known.select("doc_id", "label", F.xxhash64("doc_id").alias("at")), "labels")
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
-    pick = lambda y: known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
+    pick = lambda y: known.filter(F.col("label") == y).filter(F.col("at") <= least(count.get(y, 0), max_fit_docs)).orderBy("at", "doc_id").limit(max_fit_docs).drop("at")
     chosen = pick(1).unionByName(pick(0))  # so few that the texts are the only large side
     sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
 
@@ -342,19 +342,18 @@ def _tagged(field: Field, texts: pa.Array):
     """Texts, their words, the words' marginals and where each text's begin, a few hundred texts at a time."""
     for at in range(0, len(texts), 512):
         part = [t or "" for t in texts.slice(at, 512).to_pylist()]
-        cut = [WORD.findall(t.lower()) for t in part]
+        cut = [word_list(t) for t in part]
         words = [x for d in cut for x in d]
         starts = np.concatenate(([0], np.cumsum([len(d) for d in cut])[:-1])).astype(np.int64)
         yield part, cut, marginals(field, words, starts), starts
 
 
 def runs(text: str, bad: np.ndarray) -> list[dict[str, int]]:
-    """Character offsets of the runs of tagged words. (Lower case may lengthen a text, so words are matched in both.)"""
-    low = text.lower()
-    where = [m.span() for m in WORD.finditer(text)] if len(low) == len(text) else [m.span() for m in WORD.finditer(low)]
+    """Character offsets in the text of the runs of tagged words."""
+    where = [m.span() for m in WORD.finditer(text)]
     out: list[dict[str, int]] = []
     last = -2
-    for k in np.flatnonzero(bad[: len(where)]).tolist():
+    for k in np.flatnonzero(bad).tolist():
         if k == last + 1 and out:
             out[-1]["end"] = where[k][1]
         else:

@@ -46,6 +46,31 @@ def test_next_rows_over_ranges(spark):
         assert dict((r.doc_id, r.next_text) for r in with_next(rows, "text", each=each).collect()) == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+def test_next_rows_of_any_ids(spark):
+    """Ids of text, null ids, and ids that lie in a heap with one far away."""
+    named = [(i, str(i)) for i in ("b", "a", "zz", None, "c", "d")]
+    want = {None: "a", "a": "b", "b": "c", "c": "d", "d": "zz", "zz": "None"}
+    for each in (1, 2, 100):
+        assert dict((r.doc_id, r.next_text) for r in with_next(spark.createDataFrame(named, "doc_id string, text string"), "text", each=each).collect()) == want
+    ids = [*range(100), 10**12]
+    rows = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    assert dict((r.doc_id, r.next_text) for r in with_next(rows, "text", each=4).collect()) == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+    assert with_next(rows.limit(0), "text").count() == with_next(spark.createDataFrame([], "doc_id string, text string"), "text").count() == 0
+
+
+def test_the_query_and_its_sql(spark, sf_dir):
+    import duckdb
+
+    from pagelake.llm.queries import ORACLE_SQL, op1_decontamination
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    rel = con.sql(ORACLE_SQL["op1_decontamination"])
+    got = op1_decontamination(spark, sf_dir)
+    assert sorted(map(tuple, got.select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
 def _shingles(t):
     w = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "N" else " " for c in (t or "").lower()).split()
     return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}

@@ -50,7 +50,7 @@ def _labelled(bad, n=600):
 
 def test_toxicity_on_held_out_documents(spark):
     rows, labels = _labelled(["vile", "fool", "scumbag"])
-    rows += [(1000, None), (1001, ""), (1002, "..."), (1003, "A fool, a VILE one. " + "ba1 " * 20_000)]
+    rows += [(1004, "\u0130\u0130\u0130 vile"), (1000, None), (1001, ""), (1002, "..."), (1003, "A fool, a VILE one. " + "ba1 " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
     known = spark.createDataFrame([*labels, (5000, 1), (3, None)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in T.toxicity(docs, known).collect()}
@@ -59,6 +59,7 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in labels)
     assert sum(a == b for a, b in held) / len(held) > 0.97
     assert [got[1003].spans[k].asDict() for k in (0, 1)] == [{"start": 2, "end": 6}, {"start": 10, "end": 14}]
+    assert [s.asDict() for s in got[1004].spans] == [{"start": 4, "end": 8}]
     assert got[1000].score == got[1001].score == got[1002].score < 0.5 and got[1000].spans == []
     left = T.reject(docs, known)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.predicted}
