@@ -5,14 +5,16 @@ Paragraphs don't hang on line ends. A document's words give five-word shingles;
 is the same one wherever the run stands. Lines of ``min_run`` words or more are paragraphs too. (The hashes' least values being where
 they are, what repeats is cut into the same paragraphs in every document.)
 
-1. Each paragraph has a MinHash signature of its shingles, cut into bands. ``tune`` chooses bands and rows: equal paragraphs always
-   collide, and similar ones with the recall that is asked for. Bands that several documents have are joined.
+1. Each line has a MinHash signature of its shingles, cut into bands; ``tune`` chooses bands and rows so that similar lines collide with
+   the recall that is asked for. A paragraph of UNIT words has one band, of shingles that hold all its words: another one is 0.8 like it only
+   if an end word differs, and then the words beside say the same. Bands that several documents have are joined.
 2. Each paragraph is verified by exact Jaccard against one other: of those that are first in bands it is in, the one it shares most bands
-   with. Equal and similar words beside the two are followed as far as they go, so a link also says how far the repetition reaches.
-3. What still stands apart in a band is compared with all else there, in blocks of bounded size. Members of large bands are
-   first dealt to sub-bands by their rarest shingles there (a prefix filter: two sets that are similar enough share one of them).
-4. Connected components of links are the passages. Where two members of one agree less far with their partners than ``min_run`` words, all its
-   members are grouped by every run of ``min_run`` words around them, so a shorter passage inside hides no longer one.
+   with. Equal words beside the two are followed as far as they go, so a link also says how far the repetition reaches.
+3. Lines that still stand apart in a band are compared with all else there, in blocks of bounded size. Members of large bands are
+   first dealt to sub-bands by their rarest shingles (a prefix filter: two sets that are similar enough share one of them).
+4. Connected components of links are the passages. Where members of one agree less far with their partners than ``min_run`` words, those
+   that agree further with another are found by half of the words that are wanting, and grouped by every run of ``min_run`` words
+   around them; so a shorter passage hides no longer one.
 5. What belongs to a component is a repeat, unless it stands in the component's first document. Repeats that touch or overlap (or leave out
    at most GAP words) join, and runs of at least ``min_run`` words are cut. So every exact repetition of that many words in an earlier document goes.
 
@@ -39,8 +41,6 @@ from .near_dedup import apart, dealt_blocks
 
 TOKEN = re.compile(r"\w+|\n")
 MIN_RUN, SIMILARITY, UNIT, SHINGLE = 50, 0.8, 21, 5
-#: Similarity of two paragraphs of UNIT words that differ in an end word: 16 of 18 shingles. Any other difference takes it under 0.8.
-EDGE = 0.88
 #: Words that a cut may take along between two repeats.
 GAP = 4
 #: Members of a band over which it is dealt to sub-bands, and of a block.
@@ -96,20 +96,20 @@ def _signature(m: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 
 def _keys(minima: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
-    """A key for each band (columns) of each paragraph (rows)."""
+    """A key for each band (columns) of each paragraph (rows); its last bit is the ``kind``, 1 for lines."""
     out = np.empty((minima.shape[1], bands), np.uint64)
     for b in range(bands):
         key = np.full(minima.shape[1], 1000 * kind + b, np.uint64)
         for r in range(rows):
             key = mix64(key * np.uint64(31) + minima[b * rows + r])
-        out[:, b] = key
+        out[:, b] = key & ~np.uint64(1) | np.uint64(kind)
     return out
 
 
 def _signed(rows: DataFrame, min_run: int, similarity: float) -> DataFrame:
     """doc_id, version, starts, sizes (words) of each document's paragraphs; their bands' keys, and ``of``: which paragraph each key is of."""
-    width, kinds = min_run - UNIT + 1, (tune(max(similarity, EDGE), 0.8, 8), tune(similarity, 0.9995, 16))
-    seeds = mix64(np.arange(1, 1 + max(b * r for b, r in kinds), dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    width, (bands, depth) = min_run - UNIT + 1, tune(similarity)
+    seeds = mix64(np.arange(1, 1 + bands * depth, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     @lean
     def run(batches):
@@ -140,14 +140,12 @@ def _signed(rows: DataFrame, min_run: int, similarity: float) -> DataFrame:
                 first = np.flatnonzero(new)
                 long = np.diff(np.append(first, len(words)))
                 first, long = first[long >= min_run], long[long >= min_run]
-                (b0, r0), (b1, r1) = kinds
-                parts = sh[begin[:, None] + np.arange(UNIT - SHINGLE + 1)]
-                keys = [_keys(np.stack([_signature(parts, s).min(axis=1) for s in seeds[: b0 * r0]]), b0, r0, 0).ravel()]
-                key_of = [np.repeat(np.arange(len(begin)), b0)]
+                whole = [*range(0, UNIT - SHINGLE + 1, SHINGLE), UNIT - SHINGLE]  # shingles that hold all words
+                keys, key_of = [_keys(np.stack([sh[begin + k] for k in whole]), 1, len(whole), 0).ravel()], [np.arange(len(begin))]
                 if len(first):
                     cuts = np.stack((first, first + long - SHINGLE + 1), axis=1).ravel()
-                    keys.append(_keys(np.stack([np.minimum.reduceat(_signature(sh, s), cuts)[::2] for s in seeds[: b1 * r1]]), b1, r1, 1).ravel())
-                    key_of.append(np.repeat(np.arange(len(begin), len(begin) + len(first)), b1))
+                    keys.append(_keys(np.stack([np.minimum.reduceat(_signature(sh, s), cuts)[::2] for s in seeds]), bands, depth, 1).ravel())
+                    key_of.append(np.repeat(np.arange(len(begin), len(begin) + len(first)), bands))
                 unit, size = np.concatenate((begin, first)), np.concatenate((np.full(len(begin), UNIT), long))
                 own = doc[unit]
                 order = np.argsort(own, kind="stable")
@@ -328,10 +326,10 @@ def _shingled(members: DataFrame) -> DataFrame:
 
 
 def sub_bands(members: DataFrame, similarity: float) -> DataFrame:
-    """``members`` (bucket, id, root, shingles) of large bands, dealt to sub-bands by their rarest shingles there.
+    """``members`` (bucket, id, root, shingles) of large bands, dealt to sub-bands by their rarest shingles among all such members.
 
     Of a set of u shingles, similar sets share at least ceil(similarity * u); so, in whatever order, one of its first
-    u - ceil(similarity * u) + 1. Rarest first, sets that only share what is common in the band don't meet.
+    u - ceil(similarity * u) + 1. Rarest first, sets that only share what is common don't meet.
     """
 
     @lean
@@ -339,16 +337,18 @@ def sub_bands(members: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             sets = [np.frombuffer(b, np.int64) for b in batch.column("shingles").to_pylist()]
             take = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(take), batch.column("id").take(take), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["bucket", "id", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "sub"])
 
-    each = members.select("bucket", "id", "shingles").mapInArrow(run, "bucket long, id long, shingle long")
-    each = stored(each.select("bucket", "id", "shingle", F.xxhash64("bucket", "shingle").alias("sub")), "shingles")
+    one = stored(members.select("id", "root", "shingles").dropDuplicates(["id"]), "one")
+    each = stored(one.select("id", "shingles").mapInArrow(run, "id long, sub long"), "shingles")
     often = stored(each.groupBy("sub").agg(F.count("*").alias("often")), "often")
-    own = Window.partitionBy("bucket", "id")  # as many rows as the paragraph has shingles
+    own = Window.partitionBy("id")  # as many rows as the line has shingles
     ranked = dealt_join(each, often, "sub").withColumn("rank", F.row_number().over(own.orderBy("often", "sub"))).withColumn("u", F.count("*").over(own))
     first = ranked.filter((F.col("often") > 1) & (F.col("rank") <= F.col("u") - F.ceil(F.col("u") * F.lit(similarity).cast("decimal(9,6)")) + 1))
-    out = stored(first.select("bucket", "id", "sub"), "sub-bands")
-    return out.join(members, ["bucket", "id"]).select(F.col("sub").alias("bucket"), "id", "root", "shingles")
+    out = first.select("id", F.col("sub").alias("bucket")).join(one, "id").select("bucket", "id", "root", "shingles")
+    out = stored(out, "sub-bands")
+    release(each, often)
+    return out
 
 
 def _met(members: DataFrame, similarity: float) -> DataFrame:
@@ -407,8 +407,8 @@ def _met(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _apart_links(company: DataFrame, roots: DataFrame, around: DataFrame, similarity: float) -> DataFrame | None:
-    """Links between what stands apart in a band after each paragraph was verified against one other; None if nothing does."""
-    members = stored(apart(company.select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id"), "apart")
+    """Links between lines that stand apart in a band after each was verified against one other; None if there are none."""
+    members = stored(apart(company.filter(F.col("bucket").bitwiseAND(1) == 1).select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id"), "apart")
     if members.isEmpty():
         return None
     members = stored(_shingled(members.join(around.select("id", "n", "left", "words"), "id")), "members")
@@ -429,11 +429,34 @@ def _apart_links(company: DataFrame, roots: DataFrame, around: DataFrame, simila
 def _long_runs(links: DataFrame, roots: DataFrame, around: DataFrame, min_run: int) -> DataFrame | None:
     """doc_id, version, from, to, of: runs of ``min_run`` words around members of components that a partner's shorter passage may have hidden."""
     short = links.filter(F.col("equal") & (F.col("b_to") - F.col("b_from") < min_run)).select(F.col("b").alias("node"))
-    which = stored(roots.join(short.distinct(), "node").select("root").distinct(), "short")
+    several = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 2").select("root")
+    which = stored(roots.join(short.distinct(), "node").select("root").distinct().join(several, "root"), "short")
     if which.isEmpty():
         return None
     members = stored(dealt_join(roots, which, "root").withColumnRenamed("node", "id"), "in-short")
-    held = around.filter(F.col("n") == UNIT).join(members, "id").select("root", "doc_id", "version", "start", "left", "words")
+    held = stored(around.filter(F.col("n") == UNIT).join(members, "id").select("id", "root", "doc_id", "version", "start", "left", "words"), "short-around")
+    want = min_run - UNIT  # words more than the paragraph's; half of them stand before it or behind it
+    half = (want + 1) // 2
+
+    @lean
+    def halves(batches):
+        import xxhash
+
+        for batch in batches:
+            rows, sides, keys = [], [], []
+            for k, (root, left, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "left", "words")), strict=True)):
+                for side, at in ((0, left - half), (1, left)):
+                    if at >= 0 and len(words) >= 4 * (at + UNIT + half):
+                        rows.append(k)
+                        sides.append(side)
+                        keys.append(xxhash.xxh3_64_intdigest(words[4 * at : 4 * (at + UNIT + half)], (root * 2 + side) & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sides, pa.int32()), pa.array(keys, pa.int64())], ["id", "side", "key"])
+
+    sided = stored(held.select("id", "root", "left", "words").mapInArrow(halves, "id long, side int, key long"), "halves")
+    node = F.shiftright("id", BITS)
+    twice = stored(sided.groupBy("key").agg(F.min(node).alias("low"), F.max(node).alias("high")).filter("low <> high").select("key"), "twice")
+    kept = dealt_join(sided, twice, "key").groupBy("id").agg(F.max(F.col("side") == 0).alias("before"), F.max(F.col("side") == 1).alias("behind"))
+    held = held.join(kept, "id")
 
     @lean
     def run(batches):
@@ -441,11 +464,12 @@ def _long_runs(links: DataFrame, roots: DataFrame, around: DataFrame, min_run: i
 
         for batch in batches:
             row, at, key = [], [], []
-            for k, (root, start, left, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "start", "left", "words")), strict=True)):
-                seed = root & 0xFFFFFFFFFFFFFFFF
-                for j in range(max(0, left + UNIT - min_run), min(left, len(words) // 4 - min_run) + 1):
+            for k, (root, start, left, words, before, behind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "start", "left", "words", "before", "behind")), strict=True)):
+                seed, right = root & 0xFFFFFFFFFFFFFFFF, len(words) // 4 - left - UNIT
+                for more in range(max(0, want - right, 0 if behind else half), min(left, want, want if before else half - 1) + 1):
+                    j = left - more
                     row.append(k)
-                    at.append(start - left + j)
+                    at.append(start - more)
                     key.append(xxhash.xxh3_64_intdigest(words[4 * j : 4 * (j + min_run)], seed) - (1 << 63))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at, pa.int32())], ["key", "doc_id", "version", "at"])
