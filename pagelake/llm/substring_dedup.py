@@ -325,30 +325,47 @@ def _shingled(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "bucket long, id long, root long, shingles binary")
 
 
-def sub_bands(members: DataFrame, similarity: float) -> DataFrame:
+def sub_bands(members: DataFrame, similarity: float, most_slots: int = 1 << 20) -> DataFrame:
     """``members`` (bucket, id, root, shingles) of large bands, dealt to sub-bands by their rarest shingles among all such members.
 
     Of a set of u shingles, similar sets share at least ceil(similarity * u); so, in whatever order, one of its first
-    u - ceil(similarity * u) + 1. Rarest first, sets that only share what is common don't meet.
+    u - ceil(similarity * u) + 1. Rarest first, sets that only share what is common don't meet. How often shingles are is counted in a
+    table of a bounded number of slots by their hashes, which makes an order of no less use; what is alone in its slot has no mate and is left out.
     """
+    one = stored(members.select("id", "root", "shingles").dropDuplicates(["id"]), "one")
+    total = one.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    slots = 1 << min(most_slots.bit_length() - 1, max(16, (total // 2).bit_length()))
+
+    @lean
+    def count(batches):
+        often = np.zeros(slots, np.int64)
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            often += np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+        some = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(often[some])], ["slot", "often"])
+
+    counted = one.select("shingles").mapInArrow(count, "slot long, often long").groupBy("slot").agg(F.sum("often").alias("often"))
+    often = np.zeros(slots, np.uint64)
+    for r in counted.toLocalIterator():  # as many rows as there are slots at most
+        often[r["slot"]] = r["often"]
+    shared = one.sparkSession.sparkContext.broadcast(often)
 
     @lean
     def run(batches):
         for batch in batches:
-            sets = [np.frombuffer(b, np.int64) for b in batch.column("shingles").to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "sub"])
+            row, subs = [], []
+            for k, raw in enumerate(batch.column("shingles").to_pylist()):
+                h = np.frombuffer(raw, np.uint64)
+                many = shared.value[(h & np.uint64(slots - 1)).astype(np.int64)]
+                first = np.lexsort((h, many))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                first = first[many[first] > 1]
+                row += [k] * len(first)
+                subs.append(h[first])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*subs, np.empty(0, np.uint64)]).view(np.int64)), *(batch.column(c).take(take) for c in ("id", "root", "shingles"))], ["bucket", "id", "root", "shingles"])
 
-    one = stored(members.select("id", "root", "shingles").dropDuplicates(["id"]), "one")
-    each = stored(one.select("id", "shingles").mapInArrow(run, "id long, sub long"), "shingles")
-    often = stored(each.groupBy("sub").agg(F.count("*").alias("often")), "often")
-    own = Window.partitionBy("id")  # as many rows as the line has shingles
-    ranked = dealt_join(each, often, "sub").withColumn("rank", F.row_number().over(own.orderBy("often", "sub"))).withColumn("u", F.count("*").over(own))
-    first = ranked.filter((F.col("often") > 1) & (F.col("rank") <= F.col("u") - F.ceil(F.col("u") * F.lit(similarity).cast("decimal(9,6)")) + 1))
-    out = first.select("id", F.col("sub").alias("bucket")).join(one, "id").select("bucket", "id", "root", "shingles")
-    out = stored(out, "sub-bands")
-    release(each, often)
-    return out
+    return stored(one.mapInArrow(run, "bucket long, id long, root long, shingles binary"), "sub-bands")
 
 
 def _met(members: DataFrame, similarity: float) -> DataFrame:
