@@ -1,30 +1,30 @@
-"""Errors of a document. Their texts are what users of the format's tools know."""
+"""Errors of a document."""
 
 from __future__ import annotations
 
-MISSING_HEADER = "missing %PDF- header"
-MISSING_STARTXREF = "missing startxref"
-MALFORMED_STARTXREF = "malformed startxref"
-OOB_XREF = "xref offset out of file bounds"
-MEMORY_LIMIT = "Codec memory limit hit"
-DEPTH_LIMIT = "Codec depth limit hit"
-TODO = "PDF feature not implemented yet"
-VALUE_MISMATCH = "value kind/type mismatch"
-OBJECT_NOT_FOUND = "object number outside every xref section"
-ID_MISMATCH = "object header does not match its xref entry"
-NOT_A_STREAM = "value is not a stream object"
-BAD_LENGTH = "stream /Length missing or out of bounds"
-NESTED_OBJSTM = "object stream within an object stream"
-BAD_OBJSTM = "object stream /N, /First or offset out of bounds"
-BAD_XREF_STREAM = "xref stream generic error"
-ILLEGAL_TOKEN = "illegal token"
-UNEXPECTED_TOKEN = "unexpected token"
-PREV_LOOP = "/Prev loop found"
-PREV_TOO_LONG = "/Prev chain too long"
-EXPECTED_XREF = "expected 'xref' keyword"
-BAD_SUBSECTION = "bad subsection start/entry"
-BAD_HEADER = "bad 'N G obj' object header"
-UNEXPECTED_EOF = "unexpected end of file"
+MISSING_HEADER = "the file doesn't begin with a PDF header"
+MISSING_STARTXREF = "no startxref near the end of the file"
+MALFORMED_STARTXREF = "startxref isn't followed by a number"
+OOB_XREF = "a cross-reference offset lies outside the file"
+MEMORY_LIMIT = "the limit of bytes is reached"
+DEPTH_LIMIT = "the limit of nesting is reached"
+TODO = "this feature of the format isn't supported"
+VALUE_MISMATCH = "the value is of another kind"
+OBJECT_NOT_FOUND = "no section has this object number"
+ID_MISMATCH = "the object at the offset has another number"
+NOT_A_STREAM = "the object isn't a stream"
+BAD_LENGTH = "the stream's length is wrong or not given"
+NESTED_OBJSTM = "an object stream can't hold another"
+BAD_OBJSTM = "the object stream's numbers or offsets are wrong"
+BAD_XREF_STREAM = "the cross-reference stream can't be read"
+ILLEGAL_TOKEN = "bytes that begin no token"
+UNEXPECTED_TOKEN = "a token that can't stand here"
+PREV_LOOP = "the chain of revisions is a loop"
+PREV_TOO_LONG = "the chain of revisions is too long"
+EXPECTED_XREF = "no xref keyword where a table should begin"
+BAD_SUBSECTION = "a table's section or record is wrong"
+BAD_HEADER = "an object doesn't begin with its number"
+UNEXPECTED_EOF = "the data ends too early"
 
 
 class PdfError(Exception):

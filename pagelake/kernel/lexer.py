@@ -115,15 +115,40 @@ def token(data: bytes, at: int = 0, max_literal: int = 1 << 26) -> Token:
     return Token(*scan(data, at, max_literal))
 
 
+def scan_all(data: bytes, at: int = 0, limit: int | None = None, max_literal: int = 1 << 26) -> Iterator[tuple[int, str, bytes, int]]:
+    """What ``scan`` says of each token from ``at`` to the end of the data. The common kinds are told apart here, in one pass of the pattern."""
+    left = -1 if limit is None else limit
+    while left:
+        again = False
+        for m in iter(_token.scanner(data, at).match, None):  # each begins where the last ended
+            if not left:
+                return
+            left -= 1
+            g = m.lastindex
+            raw = m[g]
+            if g == 5 and raw[0] not in b"+-" and len(raw) <= max_literal:
+                yield m.start(5), raw.decode() if raw in KEYWORDS else "identifier", raw, m.end()
+            elif g == 2 and len(raw) <= max_literal:
+                yield m.start(2), "real" if b"." in raw else "integer", raw, m.end()
+            elif g == 1 and len(raw) <= max_literal:
+                yield m.start(1) - 1, "string", raw, m.end()
+            elif g == 6:
+                yield m.start(6), raw.decode(), raw, m.end()
+            else:
+                found = scan(data, at := m.start(), max_literal)
+                yield found
+                if found[3] != m.end():  # it ends elsewhere than the pattern does
+                    at, again = found[3], True
+                    break
+        if not again:
+            if left:
+                yield len(data), "EOF", b"", len(data)
+            return
+
+
 def tokens(data: bytes, at: int = 0, limit: int | None = None, max_literal: int = 1 << 26) -> Iterator[Token]:
     """Tokens from ``at`` to the end of the data, which is the last of them."""
-    n = 0
-    while limit is None or n < limit:
-        t = Token(*scan(data, at, max_literal))
-        yield t
-        if t.kind == "EOF":
-            return
-        at, n = t.end, n + 1
+    return map(Token._make, scan_all(data, at, limit, max_literal))
 
 
 def line_and_column(data: bytes, at: int) -> tuple[int, int, int]:

@@ -115,8 +115,10 @@ def page(path: str, doc: Document) -> Iterator[dict]:
         yield {"path": path, "page": k + 1, "num": num}
 
 
-def page_text_(path: str, doc: Document) -> Iterator[dict]:
+def page_text_(path: str, doc: Document, page: int | None = None) -> Iterator[dict]:
     for k, (_, p) in enumerate(pages(doc)):
+        if page is not None and k + 1 != page:
+            continue
         try:
             text = page_text(doc, p)
             yield {"path": path, "page": k + 1, "text": text, "text_win1252": text.decode("cp1252", "replace")}
@@ -158,7 +160,7 @@ def rows(table: str, limits: Limits, **options) -> Callable[[str, bytes], Iterat
 
     def opened(path: str, data: bytes) -> Iterator[dict]:
         try:
-            yield from OPENED[table](path, Document(data, limits))
+            yield from OPENED[table](path, Document(data, limits), **options)
         except PdfError:
             return
 

@@ -26,8 +26,10 @@ def descend(edges: DataFrame, roots: DataFrame, keys: list[str], depth: int = DE
 
 
 def ordered_leaves(edges: DataFrame, roots: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
-    """keys, node, page (from 1): nodes without children, in the order of their places."""
+    """keys, node, page (from 1): nodes without children, in the order of their places. A tree that is deeper than ``depth``, or has a cycle, is an error."""
     nodes = descend(edges, roots, keys, depth)
+    if not nodes.filter("too_deep").isEmpty():
+        raise ValueError(f"a tree is deeper than {depth} levels, or has a cycle")
     leaves = nodes.join(edges.select(*keys, F.col("parent").alias("node")).distinct(), [*keys, "node"], "left_anti")
     return leaves.withColumn("page", F.row_number().over(Window.partitionBy(*keys).orderBy("place"))).select(*keys, "node", "page")
 
@@ -35,7 +37,7 @@ def ordered_leaves(edges: DataFrame, roots: DataFrame, keys: list[str], depth: i
 def inherited(nodes: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
     """keys, node, value: a node's own value, or its nearest ancestor's. ``nodes``: keys, node, parent, value.
 
-    A level a join, over the nodes that have none yet.
+    A level a join, over the nodes that have none yet. A tree that is deeper than ``depth``, or has a cycle, is an error.
     """
     up = nodes.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("__next"), F.col("value").alias("__value"))
     have = nodes.filter("value is not null").select(*keys, "node", "value")
@@ -46,6 +48,8 @@ def inherited(nodes: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFram
         found = seek.join(up, [*keys, "parent"], "left")
         have = have.unionByName(found.filter("__value is not null or __next is null").select(*keys, "node", F.col("__value").alias("value")))
         seek = found.filter("__value is null and __next is not null").select(*keys, "node", F.col("__next").alias("parent"))
+    if not seek.isEmpty():
+        raise ValueError(f"a tree is deeper than {depth} levels, or has a cycle")
     return have
 
 

@@ -25,10 +25,10 @@ def numbers(sections: DataFrame, first: str = "first_obj", count: str = "cnt") -
     return sections.filter(F.col(count) > 0).withColumn("num", F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)))
 
 
-def first_match(points: DataFrame, ranges: DataFrame, point: str, first: str, count: str, order: str, width: int = 1024) -> DataFrame:
-    """Each point with the range of least ``order`` that holds it: a range join by buckets of ``width`` numbers, so long ranges aren't spelled out."""
+def first_match(points: DataFrame, ranges: DataFrame, point: str, first: str, count: str, order: str, width: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with the range of least ``order`` that holds it: a range join by buckets of ``width`` numbers, so long ranges aren't spelled out. ``keys``: columns of both, such as the document, that must agree."""
     cut = ranges.filter(F.col(count) > 0).withColumn("__b", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor((F.col(first) + F.col(count) - 1) / width))))
-    hit = points.withColumn("__b", F.floor(F.col(point) / width)).join(cut, "__b").filter((F.col(point) >= F.col(first)) & (F.col(point) < F.col(first) + F.col(count)))
+    hit = points.withColumn("__b", F.floor(F.col(point) / width)).join(cut, [*keys, "__b"]).filter((F.col(point) >= F.col(first)) & (F.col(point) < F.col(first) + F.col(count)))
     return hit.groupBy(*points.columns).agg(F.min(order).alias(order))
 
 

@@ -117,8 +117,8 @@ def tokens_lex(spark, d):
     """Tokens of each page's content: ten for each word shown."""
     docs = W.word_pages(t(spark, d, "documents"))
     content = Documents(docs).streams(True, [1]).select("path", F.col("data").alias("content"))
-    n = Documents(content).tokens(0, None).filter("tok <> 'EOF'").groupBy("path").agg(F.count("*").alias("tokens"))
-    return content.select("path").join(n, "path", "left").select(F.col("path").cast("long").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    n = Documents(content).tokens(0, None).groupBy("path").agg(F.sum((F.col("tok") != "EOF").cast("long")).alias("tokens"))
+    return n.select(F.col("path").cast("long").alias("doc_id"), "tokens")
 
 
 @query(f"SELECT 'font' AS family, len(w) AS n, doc_id FROM (SELECT doc_id, {_WORDS} AS w FROM documents)")
@@ -154,6 +154,13 @@ def section_range_lookup(spark, d):
     return X.first_match(t(spark, d, "customer").select("c_custkey"), sections, "c_custkey", "first_obj", "cnt", "sec")
 
 
+@query("SELECT c_nationkey::BIGINT AS doc, c_custkey, min(s_suppkey)::BIGINT AS sec FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey >= s_suppkey * 10 AND c_custkey < s_suppkey * 10 + 400 GROUP BY 1, 2")
+def section_lookup_by_document(spark, d):
+    """The first section that holds a number, of the number's own document."""
+    sections = t(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("doc"), F.col("s_suppkey").alias("sec"), (F.col("s_suppkey") * 10).alias("first_obj"), F.lit(400).cast("long").alias("cnt"))
+    return X.first_match(t(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("doc"), "c_custkey"), sections, "c_custkey", "first_obj", "cnt", "sec", keys=("doc",))
+
+
 @query("SELECT s_nationkey::BIGINT AS doc, s_suppkey AS rev, coalesce(lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 100000 + s_nationkey) AS end_section FROM supplier")
 def revision_bounds(spark, d):
     r = t(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("doc"), F.col("s_suppkey").alias("rev"))

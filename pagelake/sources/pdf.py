@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from ..kernel.lexer import scan as lex
+from ..kernel.lexer import scan_all as lex
 from ..kernel.objects import Limits
 from ..kernel.rows import rows
 from ..tables import SCHEMAS
@@ -54,9 +55,8 @@ def scan(docs: DataFrame, table: str, limits: Limits = Limits(), nums: list[int]
                 return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(order, pa.int32()), pa.array(at, pa.int64()), pa.array(kinds, pa.string()), pa.array(literals, pa.binary())], schema=arrow)
 
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, end, kind = 0, off, ""
-                while content is not None and kind != "EOF" and (left is None or n < left):
-                    pos, kind, literal, end = lex(content, end, limits.literal)
+                n = 0
+                for pos, kind, literal, _ in lex(content, off, left, limits.literal) if content is not None else ():
                     at.append(pos)
                     kinds.append(kind)
                     literals.append(literal)
@@ -102,11 +102,12 @@ class Documents:
         return self.table("xref_section")
 
     def xref(self, include_shadowed: bool = False) -> DataFrame:
-        from ..operators.xref import newest, shadowed
+        from ..operators.xref import newest
 
         e = self.table("xref_entry").filter("error is null")
-        live = newest(e, ["path", "num"], "sec", least=True).withColumn("live", F.lit(True))
-        return live.unionByName(shadowed(e, ["path", "num"], "sec", least=True).withColumn("live", F.lit(False))) if include_shadowed else live
+        if not include_shadowed:
+            return newest(e, ["path", "num"], "sec", least=True).withColumn("live", F.lit(True))
+        return e.withColumn("live", F.col("sec") == F.min("sec").over(Window.partitionBy("path", "num")))
 
     def objects(self, kind: str | None = None, limit: int | None = None, nums: list[int] | None = None) -> DataFrame:
         out = self.table("object", nums=nums)
@@ -135,8 +136,8 @@ class Documents:
         return self.table("page")
 
     def page_text(self, page: int | None = None) -> DataFrame:
-        out = self.table("page_text")
-        return out.filter(F.col("page") == page) if page is not None else out
+        """Text of all pages, or of one: others are then not decoded."""
+        return self.table("page_text", page=page)
 
     def byte_map(self) -> DataFrame:
         from ..operators.ranges import byte_map

@@ -290,3 +290,17 @@ def test_outlines_and_rectangles():
     assert (got[0]["first"], got[0]["last"], got[0]["next"], got[4]["prev"], got[2]["prev"], got[1]["next"]) == (1, 2, 4, 0, 1, 2)
     assert covers(StyleOp("x", -1, 0, 0, -1), 2, 5, 3, 6) and not covers(StyleOp("x", 1, 1, 1, 1), 0, 1, 3, 6)
     assert syntax({"A": [1, None, True, Name("N"), Ref(2), b"s", 1.5, "é"]}) == b"<</A[1 null true/N 2 0 R(s)1.5<feff00e9>]>>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=80) | st.text("()<>[]{}/%\\ \n+-.#0aR", max_size=80).map(str.encode), st.integers(0, 10), st.sampled_from([None, 0, 1, 3]))
+def test_all_tokens_are_those_one_by_one(data, at, limit):
+    from pagelake.kernel.lexer import scan, scan_all
+
+    want, pos = [], at
+    while limit is None or len(want) < limit:
+        want.append(scan(data, pos))
+        if want[-1][1] == "EOF":
+            break
+        pos = want[-1][3]
+    assert list(scan_all(data, at, limit)) == want

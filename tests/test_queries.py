@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pagelake.kernel import errors
 from pagelake.operators import layout as L
 from pagelake.operators import text as T
 from pagelake.operators import tree as TREE
@@ -79,7 +80,7 @@ def test_data_source(spark, folder):
 def test_broken_documents_are_rows(spark):
     rows = spark.createDataFrame([("a", b"not one"), ("b", None), ("c", b"%PDF-1.7\nstartxref\n99\n%%EOF")], "path string, content binary")
     docs = open_documents(spark, rows)
-    assert {(r.path, r.error) for r in docs.table("revision").collect()} == {("a", "missing %PDF- header"), ("c", "xref offset out of file bounds")}
+    assert {(r.path, r.error) for r in docs.table("revision").collect()} == {("a", errors.MISSING_HEADER), ("c", errors.OOB_XREF)}
     assert docs.table("object").count() == 0 and docs.byte_map().count() == 0
 
 
