@@ -208,12 +208,9 @@ def width(df: DataFrame) -> Column | None:
 
 def is_small(df: DataFrame, limit: int = 16 << 20) -> bool:
     """Whether ``df`` is measured to hold at most so many bytes; 16 for each fixed column of a row, and the lengths of variable ones."""
-    rows = limit // (16 * len(df.columns))
-    head = df.limit(rows + 1)
-    if (own := width(df)) is None:
-        return head.count() <= rows
-    n, size = head.agg(F.count("*"), F.sum(own)).first()
-    return n <= rows and (size or 0) <= limit
+    own = width(df)
+    n, size = df.agg(F.count("*"), F.lit(0) if own is None else F.sum(own)).first()
+    return n * 16 * len(df.columns) + (size or 0) <= limit
 
 
 def small(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
