@@ -160,24 +160,30 @@ def word_list(text: str) -> list[str]:
     return "\0".join(words).lower().split("\0") if words else []
 
 
+class _Known(dict):
+    """Hashes of words by word; one that isn't held is computed, and held while there is room."""
+
+    def __init__(self, bound: int):
+        import xxhash
+
+        super().__init__()
+        self.digest, self.bound = xxhash.xxh3_64_intdigest, bound
+
+    def __missing__(self, word: str) -> int:
+        h = self.digest(word)
+        if len(self) < self.bound:
+            self[word] = h
+        return h
+
+
 class WordHasher:
     """64-bit hashes of words, the first of which are remembered, up to a bound."""
 
     def __init__(self, bound: int = 120_000):
-        import xxhash
-
-        self.hash, self.bound, self.known = xxhash.xxh3_64_intdigest, bound, {}
+        self.known = _Known(bound)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        got = list(map(self.known.get, words))
-        if None in got:
-            known, digest, room = self.known, self.hash, len(self.known) < self.bound
-            for i, v in enumerate(got):
-                if v is None:
-                    got[i] = digest(words[i])
-                    if room:
-                        known[words[i]] = got[i]
-        return np.array(got, dtype=np.uint64)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:

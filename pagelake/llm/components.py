@@ -42,5 +42,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, root; stored) after ``edges`` (a, b; stored) are added to their graph: only the components that these join are gone through."""
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        to = labels.select(F.col("node").alias(end), F.col("root").alias("top"))
+        ends = stored(dealt_join(ends, to, end, "left").withColumn(end, F.coalesce("top", end)).drop("top"), "contracted")
+    over = stored(components(ends), "joined")
+    new = over.join(labels.select(F.col("root").alias("node")).distinct(), "node", "left_anti")
+    to = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return dealt_join(labels, to, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(new)
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

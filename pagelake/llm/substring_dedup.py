@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WORD, WordHasher, dealt_join, free_name, lean, mix64, release, runs_of, shingles, small, stored, word_list
-from .components import components
+from .components import components, extended
 from .near_dedup import apart, dealt_blocks
 
 TOKEN = re.compile(r"\w+|\n")
@@ -179,9 +179,9 @@ def _numbered(signed: DataFrame) -> DataFrame:
 
 
 def _around(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, a, doc_id, version, start, n, left, words of the wanted paragraphs: 32-bit hashes of their words and of up to ``width`` on either side (none beside lines).
+    """id, a, head, doc_id, version, start, n, left, words of the wanted paragraphs: 32-bit hashes of their words and of up to ``width`` on either side (none beside lines).
 
-    ``wanted``: doc_id, version and the document's paragraphs as structs (id, a, start, n).
+    ``wanted``: doc_id, version and the document's paragraphs as structs (id, a, head, start, n).
     """
     keys = wanted.select("doc_id", "version")
     texts = rows.join(small(keys), ["doc_id", "version"], "left_semi").join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "units")
@@ -203,9 +203,9 @@ def _around(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     words += [raw[4 * a : 4 * b] for a, b in zip(low[last : last + c].tolist(), high[last : last + c].tolist(), strict=True)]
                     last += c
                 row = pa.array(np.repeat(np.arange(part.num_rows), count))
-                yield pa.RecordBatch.from_arrays([units.field("id"), units.field("a"), part.column(0).take(row), part.column(1).take(row), units.field("start"), units.field("n"), pa.array((start - low).astype(np.int32)), pa.array(words, pa.binary())], ["id", "a", "doc_id", "version", "start", "n", "left", "words"])
+                yield pa.RecordBatch.from_arrays([units.field("id"), units.field("a"), units.field("head"), part.column(0).take(row), part.column(1).take(row), units.field("start"), units.field("n"), pa.array((start - low).astype(np.int32)), pa.array(words, pa.binary())], ["id", "a", "head", "doc_id", "version", "start", "n", "left", "words"])
 
-    return texts.mapInArrow(run, f"id long, a long, doc_id {_kind(rows)}, version long, start int, n int, left int, words binary")
+    return texts.mapInArrow(run, f"id long, a long, head boolean, doc_id {_kind(rows)}, version long, start int, n int, left int, words binary")
 
 
 def _set(words: np.ndarray) -> np.ndarray:
@@ -428,7 +428,8 @@ def _apart_links(company: DataFrame, roots: DataFrame, around: DataFrame, simila
     members = stored(apart(company.filter(F.col("bucket").bitwiseAND(1) == 1).select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id"), "apart")
     if members.isEmpty():
         return None
-    members = stored(_shingled(members.join(around.select("id", "n", "left", "words"), "id")), "members")
+    lines = around.filter(F.col("n") > UNIT).select("id", "n", "left", "words")
+    members = stored(_shingled(members.join(lines, "id")), "members")
     sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > LARGE), "large")
     several = members
     if not sizes.isEmpty():
@@ -440,7 +441,7 @@ def _apart_links(company: DataFrame, roots: DataFrame, around: DataFrame, simila
     pairs = stored(_met(stored(several, "several"), similarity), "pairs")
     if pairs.isEmpty():
         return None
-    return _linked(pairs.join(around.select("id", "n", "left", "words"), "id"), stored(around.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "heads"), similarity)
+    return _linked(pairs.join(lines, "id"), stored(lines.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "heads"), similarity)
 
 
 def _long_runs(links: DataFrame, roots: DataFrame, around: DataFrame, min_run: int) -> DataFrame | None:
@@ -517,24 +518,22 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILAR
     firsts = shared.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.shiftright("first", BITS) != F.shiftright("last", BITS)).select("bucket", "first")
     company = stored(dealt_join(shared, stored(firsts, "firsts"), "bucket"), "company")
     release(twice, shared)
-    # One partner each, of another document.
+    # One partner each, of another document; only what is first in some band (``head``) can be one.
     partner = company.groupBy("id", "first").agg(F.count("*").alias("n")).withColumn("other", F.shiftright("first", BITS) != F.shiftright("id", BITS))
-    partner = partner.groupBy("id").agg(F.max_by(F.when(F.col("other"), F.col("first")), F.struct("other", "n", -F.col("first"))).alias("a"))
-    units = stored(partner.groupBy(F.shiftright("id", BITS).alias("node")).agg(F.collect_list(F.struct("id", "a")).alias("units")), "units")
+    partner = partner.groupBy("id").agg(F.max_by(F.when(F.col("other"), F.col("first")), F.struct("other", "n", -F.col("first"))).alias("a"), F.max(F.col("first") == F.col("id")).alias("head"))
+    units = stored(partner.groupBy(F.shiftright("id", BITS).alias("node")).agg(F.collect_list(F.struct("id", "a", "head")).alias("units")), "units")
     place = lambda u: u["id"].bitwiseAND((1 << BITS) - 1).cast("int")
     wanted = numbered.select("node", "doc_id", "version", "starts", "sizes").join(units, "node")
-    wanted = stored(wanted.select("doc_id", "version", F.transform("units", lambda u: F.struct(u["id"].alias("id"), u["a"].alias("a"), F.get("starts", place(u)).alias("start"), F.get("sizes", place(u)).alias("n"))).alias("units")), "wanted")
+    wanted = stored(wanted.select("doc_id", "version", F.transform("units", lambda u: F.struct(u["id"].alias("id"), u["a"].alias("a"), u["head"].alias("head"), F.get("starts", place(u)).alias("start"), F.get("sizes", place(u)).alias("n"))).alias("units")), "wanted")
     release(signed, units)
     around = stored(_around(rows, wanted, width), "around")
     release(wanted)
-    pairs = around.filter("a is not null")
-    heads = stored(around.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "heads")
-    links = stored(_linked(pairs, heads, similarity), "links")
-    release(heads)
-    roots = stored(components(links.select("a", "b")), "roots")
+    links = stored(_linked(around.filter("a is not null"), around.filter("head"), similarity), "links")
+    kept, roots = [links], stored(components(links.select("a", "b")), "roots")
     if (more := _apart_links(company, roots, around, similarity)) is not None:
-        links = stored(links.unionByName(more), "links")
-        roots = stored(components(links.select("a", "b")), "roots")
+        more, before = stored(more, "more-links"), roots
+        links, kept, roots = links.unionByName(more), [links, more], stored(extended(before, more), "roots")
+        release(before)
     # Repeats: members of components that aren't in the first document of theirs, as far as their links reach.
     sides = links.select(F.col("a").alias("node"), F.col("a_from").alias("from"), F.col("a_to").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("b_from").alias("from"), F.col("b_to").alias("to")))
     reach = sides.groupBy("node").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(roots, "node").withColumnRenamed("node", "id")
@@ -571,7 +570,7 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILAR
 
     cut = lists.mapInArrow(join_runs, f"doc_id {_kind(rows)}, version long, cut array<struct<`from`:int,`to`:int,of:struct<doc_id:{_kind(rows)},start:int>>>")
     out = stored(cut, "cuts")
-    release(links, roots, around, company, several, first)
+    release(*kept, roots, around, company, several, first)
     return out
 
 
