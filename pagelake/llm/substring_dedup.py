@@ -31,6 +31,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -296,7 +297,10 @@ def _linked(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
                 right = _alike(x, at[e] + UNIT, y, there[e] + UNIT, np.minimum(x_end[e] - at[e], y_end[e] - there[e]) - UNIT, 1)
                 out[:, e], keep[e] = np.stack((-left, UNIT + right, -left, UNIT + right, np.ones(len(e), int))), True
                 near = w[~equal][_similar(u[~equal], v[~equal], similarity)]
-                for k in (*near.tolist(), *np.flatnonzero((an != UNIT) | (bn != UNIT)).tolist()):
+                lines = (an != UNIT) | (bn != UNIT)
+                same = np.flatnonzero(lines & (an == bn) & (al == 0) & (bl == 0) & (x_end - at == an) & pc.equal(batch.column(4), batch.column(7)).to_numpy(zero_copy_only=False))
+                out[1, same], out[3, same], out[4, same], keep[same], lines[same] = an[same], bn[same], 1, True, False
+                for k in (*near.tolist(), *np.flatnonzero(lines).tolist()):
                     if got := _reach(x[at[k] - al[k] : x_end[k]], al[k], an[k], y[there[k] - bl[k] : y_end[k]], bl[k], bn[k], similarity):
                         out[:, k], keep[k] = got, True
                 hit = pa.array(np.flatnonzero(keep))
@@ -318,7 +322,20 @@ def _shingled(members: DataFrame) -> DataFrame:
             own, size = _rows_of_shingles(x[at[w][:, None] + np.arange(UNIT)])
             for k, row, m in zip(w.tolist(), own, size.tolist(), strict=True):
                 made[k] = row[:m].tobytes() if m == len(row) else np.unique(row[row < _MOST - np.uint64(64)]).tobytes()
-            for k in np.flatnonzero(n != UNIT).tolist():
+            lines = np.flatnonzero((n != UNIT) & (n >= SHINGLE))
+            for begin in range(0, len(lines), 1024):
+                part = lines[begin : begin + 1024]
+                count = n[part].astype(np.int64) - SHINGLE + 1
+                row = np.repeat(np.arange(len(part)), count)
+                place = np.repeat(at[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                hashes = shingles(x[at[part[0]] : at[part[-1]] + n[part[-1]]], SHINGLE)[place - at[part[0]]]  # rows stand in order
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                first = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))
+                raw, ends = hashes[first].tobytes(), 8 * np.cumsum(np.bincount(row[first], minlength=len(part)))
+                for k, a, b in zip(part.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    made[k] = raw[a:b]
+            for k in np.flatnonzero(n < SHINGLE).tolist():
                 made[k] = _set(x[at[k] : at[k] + n[k]]).tobytes()
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("bucket", "id", "root")), pa.array(made, pa.binary())], ["bucket", "id", "root", "shingles"])
 
@@ -595,10 +612,9 @@ def cut_repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIM
             for k in where:
                 made[k], spans[k] = without(texts[k].as_py(), runs[k].as_py())
             if made:
-                new = texts.to_pylist()
-                for k, t in made.items():
-                    new[k] = t
-                texts = pa.array(new, texts.type)
+                changed = np.zeros(batch.num_rows, bool)
+                changed[list(made)] = True
+                texts = pc.replace_with_mask(texts, pa.array(changed), pa.array(made.values(), texts.type))
             span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("of", runs.type.value_type.field("of").type)]))
             columns = [texts if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span_kind)], [*batch.schema.names[:-1], name])

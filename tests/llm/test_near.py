@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagelake.llm import near_dedup as N
-from pagelake.llm.components import components
+from pagelake.llm.common import stored
+from pagelake.llm.components import components, extended
 from pagelake.llm.near_dedup import deduplicate, edits, near_classes
 
 from .helpers import documents, odd_rows
@@ -68,6 +69,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_extended(spark):
+    """Edges that come later give the same components as all at once: of nodes in one, of several, of new ones, of one with itself."""
+    rnd = random.Random(5)
+    edge = lambda low, high: (rnd.randrange(low, high), rnd.randrange(low, high))
+    early, late = [edge(0, 120) for _ in range(50)] + [(0, k) for k in range(1, 30)], [edge(0, 200) for _ in range(40)] + [(150, 151), (151, 152), (7, 8), (9, 9)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    want = {r.node: r.root for r in components(frame(early + late)).collect()}
+    got = extended(stored(components(frame(early)), "early"), stored(frame(late), "late")).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.root for r in got} == want
+
+
 def brute(texts):
     cut = {i: N.WORD.findall((t or "").lower()) for i, t in texts}
     root = {i: i for i in cut}
