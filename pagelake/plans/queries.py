@@ -112,6 +112,16 @@ def pdf_object_streams(spark, d):
     return e.select(F.col("path").cast("long").alias("doc_id"), F.col("value_int").alias("x"))
 
 
+@query("SELECT doc_id, 3::BIGINT AS members, 5::BIGINT AS objects, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS unreadable, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS in_streams FROM documents")
+def pdf_readability(spark, d):
+    """Where the object stream of a document is broken (each third), its members can't be read; the other objects can."""
+    docs = W.compact(t(spark, d, "documents"), "doc_id", "n_chars")
+    broken = F.expr("overlay(content PLACING X'00' FROM instr(decode(content, 'ISO-8859-1'), 'stream\\n') + 7)")
+    docs = Documents(docs.withColumn("content", F.when(F.col("path").cast("long") % 3 == 0, broken).otherwise(F.col("content"))))
+    members = docs.object_streams().select("path", "members")
+    return docs.readability().join(members, "path").select(F.col("path").cast("long").alias("doc_id"), "members", "objects", "unreadable", "in_streams")
+
+
 @query(f"SELECT doc_id, 10 * len({_WORDS}) AS tokens FROM documents")
 def tokens_lex(spark, d):
     """Tokens of each page's content: ten for each word shown."""

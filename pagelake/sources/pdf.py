@@ -161,6 +161,15 @@ class Documents:
 
         return document_info(self.table("revision"), self.table("xref_section"))
 
+    def object_streams(self) -> DataFrame:
+        """path, stm, members: how many current objects each object stream holds."""
+        return self.xref().filter("stm is not null").groupBy("path", "stm").agg(F.count("*").alias("members"))
+
+    def readability(self) -> DataFrame:
+        """path, objects, unreadable, in_streams of each document: its current objects, those with an error, and those of the latter that an object stream holds (where one can't be read, all of its members)."""
+        bad = F.col("error").isNotNull()
+        return self.table("object").groupBy("path").agg(F.count("*").alias("objects"), F.count_if(bad).alias("unreadable"), F.count_if(bad & F.col("stm").isNotNull()).alias("in_streams"))
+
     def kinds(self) -> DataFrame:
         """what ('record' or 'value'), kind, n over all documents."""
         records = self.xref().groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("record").alias("what"), "kind", "n")
