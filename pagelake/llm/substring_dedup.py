@@ -32,11 +32,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, WordHasher, dealt_join, free_name, lean, mix64, release, runs_of, shingles, small, stored, word_list
+from .common import WORD, WordHasher, dealt_join, free_name, lean, mix64, release, remove, runs_of, scope, shingles, small, stored, word_list
 from .components import components, extended
 from .near_dedup import apart, dealt_blocks
 
@@ -46,12 +46,14 @@ MIN_RUN, SIMILARITY, UNIT, SHINGLE = 50, 0.8, 21, 5
 GAP = 4
 #: Members of a band over which it is dealt to sub-bands, and of a block.
 LARGE, BLOCK = 256, 256
+#: Slots in which the rows of buckets are counted.
+SLOTS = 1 << 14
 #: Places of an id's bits that number a document's paragraphs.
 BITS = 26
 _C, _D, _MOST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def tune(similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 16) -> tuple[int, int]:
+def tune(similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 33) -> tuple[int, int]:
     """(bands, rows): the most rows a band (the fewest chance collisions) for which bands of them reach the recall."""
     return max(((hashes // r, r) for r in range(1, hashes + 1) if 1 - (1 - similarity**r) ** (hashes // r) >= recall), key=lambda x: x[1], default=(hashes, 1))
 
@@ -89,11 +91,18 @@ def starts(h: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> n
     return at
 
 
-def _signature(m: np.ndarray, seed: np.uint64) -> np.ndarray:
-    m = (m ^ seed) * _C
-    m ^= m >> np.uint64(32)
-    m *= _D
-    return m
+def _minima(h: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
+    """The least hashes of each of some stretches of ``h`` (from one cut to the next, every second one) in n orders: two of 32 bits from each mixed hash."""
+    out = np.empty((n, len(cuts) // 2), np.uint64)
+    for k, seed in enumerate(mix64(np.arange(1, 1 + (n + 1) // 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))):
+        m = (h ^ seed) * _C
+        m ^= m >> np.uint64(32)
+        m *= _D
+        m ^= m >> np.uint64(32)
+        halves = m.view(np.uint32)
+        for i in range(2 * k, min(n, 2 * k + 2)):
+            out[i] = np.minimum.reduceat(np.ascontiguousarray(halves[i % 2 :: 2]), cuts)[::2]
+    return out
 
 
 def _keys(minima: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
@@ -110,7 +119,6 @@ def _keys(minima: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
 def _signed(rows: DataFrame, min_run: int, similarity: float) -> DataFrame:
     """doc_id, version, starts, sizes (words) of each document's paragraphs; their bands' keys, and ``of``: which paragraph each key is of."""
     width, (bands, depth) = min_run - UNIT + 1, tune(similarity)
-    seeds = mix64(np.arange(1, 1 + bands * depth, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     @lean
     def run(batches):
@@ -145,7 +153,7 @@ def _signed(rows: DataFrame, min_run: int, similarity: float) -> DataFrame:
                 keys, key_of = [_keys(np.stack([sh[begin + k] for k in whole]), 1, len(whole), 0).ravel()], [np.arange(len(begin))]
                 if len(first):
                     cuts = np.stack((first, first + long - SHINGLE + 1), axis=1).ravel()
-                    keys.append(_keys(np.stack([np.minimum.reduceat(_signature(sh, s), cuts)[::2] for s in seeds]), bands, depth, 1).ravel())
+                    keys.append(_keys(_minima(sh, cuts, bands * depth), bands, depth, 1).ravel())
                     key_of.append(np.repeat(np.arange(len(begin), len(begin) + len(first)), bands))
                 unit, size = np.concatenate((begin, first)), np.concatenate((np.full(len(begin), UNIT), long))
                 own = doc[unit]
@@ -171,18 +179,72 @@ def _kind(rows: DataFrame) -> str:
     return rows.schema["doc_id"].dataType.simpleString()
 
 
-def _numbered(signed: DataFrame) -> DataFrame:
-    """``signed`` (stored, with ``m``, what Spark numbered its rows when it wrote them) with ``node``: numbers without holes between tasks."""
-    parts = signed.groupBy(F.shiftright("m", 33).alias("part")).agg(F.max("m").alias("high"))  # a row for each task that wrote
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (stored, with ``m``, what Spark numbered them when it wrote them) with ``node``: numbers without holes between tasks."""
+    parts = rows.groupBy(F.shiftright("m", 33).alias("part")).agg(F.max("m").alias("high"))  # a row for each task that wrote
     count = F.col("high").bitwiseAND((1 << 33) - 1) + 1
     base = parts.select("part", (F.sum(count).over(Window.orderBy("part")) - count).alias("base"))
-    return signed.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(base), "part").withColumn("node", F.col("base") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("part", "base", "m")
+    return rows.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(base), "part").withColumn("node", F.col("base") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("part", "base", "m")
+
+
+def _ranked(signed: DataFrame) -> DataFrame:
+    """row (``m`` of ``signed``), node, doc_id, version: documents numbered in the order of their ids, so the least id of a paragraph is the first document's."""
+    ordered = signed.select("doc_id", "version", F.col("m").alias("row")).sort("doc_id", "version")
+    return stored(_numbered(stored(ordered.withColumn("m", F.monotonically_increasing_id()), "ordered")), "documents")
+
+
+def node_of(name: str) -> Column:
+    """The document that a paragraph or a place is of."""
+    return F.shiftright(name, BITS)
+
+
+def placed(name: str, start: str) -> Column:
+    """The document that a paragraph is of, and a word's place there, as one number."""
+    return F.shiftleft(node_of(name), BITS) + F.col(start)
+
+
+def company_of(rows: DataFrame, most: int = 4096) -> DataFrame:
+    """bucket, id, first (the bucket's least id) of ``rows`` (bucket, id; read twice) whose bucket several documents have.
+
+    All rows of a bucket meet in one task, once. Buckets that may have over ``most`` rows, and over a two thousandth of all, are told by counts in
+    slots; their least and largest ids are aggregated before they are shuffled, and joined.
+    """
+    slot = F.shiftright("bucket", 8).bitwiseAND(SLOTS - 1)
+    counted = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()  # as many rows as there are slots at most
+    n = counted["n"].to_numpy()
+    hot = counted["slot"].to_numpy()[n > max(most, int(n.sum()) // 2000)].tolist()
+
+    @lean
+    def run(batches):
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if not sum(len(x) for x, _ in held):
+            return
+        bucket, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        bucket, ids = bucket[order], ids[order]
+        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        size = np.diff(np.append(begin, len(ids)))
+        low, high = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
+        several = (low >> BITS) != (high >> BITS)
+        keep, first = np.repeat(several, size), np.repeat(low[several], size[several])
+        bucket, ids = bucket[keep], ids[keep]
+        for at in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (bucket, ids, first)], ["bucket", "id", "first"])
+
+    rows = rows.select("bucket", "id")
+    cold = rows.filter(~slot.isin(hot)) if hot else rows
+    out = cold.repartition("bucket").mapInArrow(run, "bucket long, id long, first long")
+    if hot:
+        often = stored(rows.filter(slot.isin(hot)), "often")
+        firsts = often.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(node_of("first") != node_of("last")).select("bucket", "first")
+        out = out.unionByName(dealt_join(often, stored(firsts, "firsts"), "bucket").select("bucket", "id", "first"))
+    return out
 
 
 def _around(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, a, head, doc_id, version, start, n, left, words of the wanted paragraphs: 32-bit hashes of their words and of up to ``width`` on either side (none beside lines).
+    """id, a, head, root, start, n, left, words of the wanted paragraphs: 32-bit hashes of their words and of up to ``width`` on either side (none beside lines).
 
-    ``wanted``: doc_id, version and the document's paragraphs as structs (id, a, head, start, n).
+    ``wanted``: doc_id, version and the document's paragraphs as structs (id, a, head, root, start, n).
     """
     keys = wanted.select("doc_id", "version")
     texts = rows.join(small(keys), ["doc_id", "version"], "left_semi").join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "units")
@@ -193,32 +255,26 @@ def _around(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                lists = part.column(3)
+                lists = part.column(1)
                 count, units = lists.value_lengths().to_numpy(), lists.flatten()
                 start, n = (units.field(k).to_numpy() for k in ("start", "n"))
                 low = np.where(n == UNIT, np.maximum(start - width, 0), start)
                 high = start + n + np.where(n == UNIT, width, 0)
                 words, last = [], 0
-                for text, c in zip(part.column(2).to_pylist(), count.tolist(), strict=True):
+                for text, c in zip(part.column(0).to_pylist(), count.tolist(), strict=True):
                     raw = hasher(word_list(text)).astype(np.uint32).tobytes()
                     words += [raw[4 * a : 4 * b] for a, b in zip(low[last : last + c].tolist(), high[last : last + c].tolist(), strict=True)]
                     last += c
-                row = pa.array(np.repeat(np.arange(part.num_rows), count))
-                yield pa.RecordBatch.from_arrays([units.field("id"), units.field("a"), units.field("head"), part.column(0).take(row), part.column(1).take(row), units.field("start"), units.field("n"), pa.array((start - low).astype(np.int32)), pa.array(words, pa.binary())], ["id", "a", "head", "doc_id", "version", "start", "n", "left", "words"])
-
-    return texts.mapInArrow(run, f"id long, a long, head boolean, doc_id {_kind(rows)}, version long, start int, n int, left int, words binary")
+                yield pa.RecordBatch.from_arrays([*(units.field(c) for c in ("id", "a", "head", "root", "start", "n")), pa.array((start - low).astype(np.int32)), pa.array(words, pa.binary())], ["id", "a", "head", "root", "start", "n", "left", "words"])
 
+    return texts.select("text", "units").mapInArrow(run, "id long, a long, head boolean, root long, start int, n int, left int, words binary")
 
-def _set(words: np.ndarray) -> np.ndarray:
-    return np.unique(shingles(words, SHINGLE))
 
-
-def _reach(x: np.ndarray, lx: int, nx: int, y: np.ndarray, ly: int, ny: int, similarity: float) -> tuple[int, int, int, int, bool] | None:
-    """How far two paragraphs with the words beside them agree: from and to, counted from each one's first word, and whether they are equal; None if they aren't similar."""
+def _reach(x: np.ndarray, lx: int, nx: int, y: np.ndarray, ly: int, ny: int, similarity: float) -> tuple[int, int, int, int] | None:
+    """How far two paragraphs with the words beside them agree: from and to, counted from each one's first word; None if they aren't similar."""
     u, v = x[lx : lx + nx], y[ly : ly + ny]
     trims = (0, 0, 0, 0)
-    equal = nx == ny and u.tobytes() == v.tobytes()
-    if not equal:
+    if nx != ny or u.tobytes() != v.tobytes():
         su, sv = shingles(u, SHINGLE), shingles(v, SHINGLE)
         hu, hv = np.isin(su, sv), np.isin(sv, su)
         both = len(np.unique(su[hu]))
@@ -233,7 +289,7 @@ def _reach(x: np.ndarray, lx: int, nx: int, y: np.ndarray, ly: int, ny: int, sim
     if trims[1] == trims[3] == 0 and (m := min(len(x) - lx - nx, len(y) - ly - ny)) > 0:
         differ = np.flatnonzero(x[lx + nx : lx + nx + m] != y[ly + ny : ly + ny + m])
         right = int(differ[0]) if len(differ) else m
-    return trims[0] - left, nx - trims[1] + right, trims[2] - left, ny - trims[3] + right, equal
+    return trims[0] - left, nx - trims[1] + right, trims[2] - left, ny - trims[3] + right
 
 
 def _flat(words: pa.Array, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,13 +328,13 @@ def _alike(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, most
     return np.argmin(np.concatenate((same, np.zeros((len(at), 1), bool)), axis=1), axis=1)
 
 
-LINK = "a long, b long, a_from int, a_to int, b_from int, b_to int, equal boolean"
+LINK = "a long, b long, a_start int, b_start int, a_from int, a_to int, b_from int, b_to int, unit boolean"
 
 
 def _linked(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """The links among ``pairs`` (a, id, n, left, words) and their partners' rows of ``heads``."""
-    other = heads.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("left").alias("a_left"), F.col("words").alias("a_words"))
-    joined = dealt_join(pairs.select("a", "id", "n", "left", "words"), other, "a").select("a", "id", "a_n", "a_left", "a_words", "n", "left", "words")
+    """The links among ``pairs`` (a, id, start, n, left, words) and their partners' rows of ``heads``."""
+    other = heads.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("start", "n", "left", "words")))
+    joined = dealt_join(pairs.select("a", "id", "start", "n", "left", "words"), other, "a").select("a", "id", "a_n", "a_left", "a_words", "n", "left", "words", "a_start", "start")
 
     @lean
     def compare(batches):
@@ -287,7 +343,7 @@ def _linked(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
                 batch = whole.slice(begin, 2048)
                 an, al, bn, bl = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
                 (x, at, x_end), (y, there, y_end) = _flat(batch.column(4), al), _flat(batch.column(7), bl)
-                out = np.zeros((5, batch.num_rows), np.int32)
+                out = np.zeros((4, batch.num_rows), np.int32)
                 keep = np.zeros(batch.num_rows, bool)
                 w = np.flatnonzero((an == UNIT) & (bn == UNIT))
                 u, v = (z[p[w][:, None] + np.arange(UNIT)] for z, p in ((x, at), (y, there)))
@@ -295,61 +351,51 @@ def _linked(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
                 e = w[equal]
                 left = _alike(x, at[e] - 1, y, there[e] - 1, np.minimum(al[e], bl[e]), -1)
                 right = _alike(x, at[e] + UNIT, y, there[e] + UNIT, np.minimum(x_end[e] - at[e], y_end[e] - there[e]) - UNIT, 1)
-                out[:, e], keep[e] = np.stack((-left, UNIT + right, -left, UNIT + right, np.ones(len(e), int))), True
+                out[:, e], keep[e] = np.stack((-left, UNIT + right, -left, UNIT + right)), True
                 near = w[~equal][_similar(u[~equal], v[~equal], similarity)]
                 lines = (an != UNIT) | (bn != UNIT)
                 same = np.flatnonzero(lines & (an == bn) & (al == 0) & (bl == 0) & (x_end - at == an) & pc.equal(batch.column(4), batch.column(7)).to_numpy(zero_copy_only=False))
-                out[1, same], out[3, same], out[4, same], keep[same], lines[same] = an[same], bn[same], 1, True, False
+                out[1, same], out[3, same], keep[same], lines[same] = an[same], bn[same], True, False
                 for k in (*near.tolist(), *np.flatnonzero(lines).tolist()):
                     if got := _reach(x[at[k] - al[k] : x_end[k]], al[k], an[k], y[there[k] - bl[k] : y_end[k]], bl[k], bn[k], similarity):
                         out[:, k], keep[k] = got, True
                 hit = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), *(pa.array(c[keep]) for c in out[:4]), pa.array(out[4][keep] > 0)], ["a", "b", "a_from", "a_to", "b_from", "b_to", "equal"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(hit) for c in (0, 1, 8, 9)), *(pa.array(c[keep]) for c in out), pa.array(bn[keep] == UNIT)], ["a", "b", "a_start", "b_start", "a_from", "a_to", "b_from", "b_to", "unit"])
 
     return joined.mapInArrow(compare, LINK)
 
 
 def _shingled(members: DataFrame) -> DataFrame:
-    """``members`` with ``shingles``: the distinct shingles of ``words`` as bytes, sorted."""
+    """id, root, ``shingles`` of lines: the distinct shingles of ``words`` as bytes, 32 bits of each, sorted."""
 
     @lean
     def run(batches):
         for batch in batches:
             n, left = (batch.column(k).to_numpy() for k in ("n", "left"))
             x, at, _ = _flat(batch.column("words"), left)
-            made: list = [None] * batch.num_rows
-            w = np.flatnonzero(n == UNIT)
-            own, size = _rows_of_shingles(x[at[w][:, None] + np.arange(UNIT)])
-            for k, row, m in zip(w.tolist(), own, size.tolist(), strict=True):
-                made[k] = row[:m].tobytes() if m == len(row) else np.unique(row[row < _MOST - np.uint64(64)]).tobytes()
-            lines = np.flatnonzero((n != UNIT) & (n >= SHINGLE))
-            for begin in range(0, len(lines), 1024):
-                part = lines[begin : begin + 1024]
+            made: list = []
+            for begin in range(0, batch.num_rows, 1024):
+                part = np.arange(begin, min(begin + 1024, batch.num_rows))
                 count = n[part].astype(np.int64) - SHINGLE + 1
                 row = np.repeat(np.arange(len(part)), count)
                 place = np.repeat(at[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                hashes = shingles(x[at[part[0]] : at[part[-1]] + n[part[-1]]], SHINGLE)[place - at[part[0]]]  # rows stand in order
-                order = np.lexsort((hashes, row))
-                row, hashes = row[order], hashes[order]
-                first = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))
-                raw, ends = hashes[first].tobytes(), 8 * np.cumsum(np.bincount(row[first], minlength=len(part)))
-                for k, a, b in zip(part.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    made[k] = raw[a:b]
-            for k in np.flatnonzero(n < SHINGLE).tolist():
-                made[k] = _set(x[at[k] : at[k] + n[k]]).tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("bucket", "id", "root")), pa.array(made, pa.binary())], ["bucket", "id", "root", "shingles"])
+                hashes = shingles(x[at[part[0]] : at[part[-1]] + n[part[-1]]], SHINGLE)[place - at[part[0]]] >> np.uint64(32)  # rows stand in order
+                both = np.unique(row.astype(np.uint64) << np.uint64(32) | hashes)
+                raw, ends = both.astype(np.uint32).tobytes(), 4 * np.cumsum(np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(part)))
+                made += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("id", "root")), pa.array(made, pa.binary())], ["id", "root", "shingles"])
 
-    return members.mapInArrow(run, "bucket long, id long, root long, shingles binary")
+    return members.mapInArrow(run, "id long, root long, shingles binary")
 
 
 def sub_bands(members: DataFrame, similarity: float, most_slots: int = 1 << 20) -> DataFrame:
-    """``members`` (bucket, id, root, shingles) of large bands, dealt to sub-bands by their rarest shingles among all such members.
+    """bucket, id, root: ``members`` (id, root, shingles; an id may come again) dealt to sub-bands by their rarest shingles among all members.
 
     Of a set of u shingles, similar sets share at least ceil(similarity * u); so, in whatever order, one of its first
     u - ceil(similarity * u) + 1. Rarest first, sets that only share what is common don't meet. How often shingles are is counted in a
     table of a bounded number of slots by their hashes, which makes an order of no less use; what is alone in its slot has no mate and is left out.
     """
-    one = stored(members.select("id", "root", "shingles").dropDuplicates(["id"]), "one")
+    one = members.select("id", "root", "shingles").dropDuplicates(["id"])
     total = one.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     slots = 1 << min(most_slots.bit_length() - 1, max(16, (total // 2).bit_length()))
 
@@ -362,10 +408,9 @@ def sub_bands(members: DataFrame, similarity: float, most_slots: int = 1 << 20)
         some = np.flatnonzero(often)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(often[some])], ["slot", "often"])
 
-    counted = one.select("shingles").mapInArrow(count, "slot long, often long").groupBy("slot").agg(F.sum("often").alias("often"))
+    counted = one.select("shingles").mapInArrow(count, "slot long, often long").groupBy("slot").agg(F.sum("often").alias("often")).toArrow()
     often = np.zeros(slots, np.uint64)
-    for r in counted.toLocalIterator():  # as many rows as there are slots at most
-        often[r["slot"]] = r["often"]
+    often[counted["slot"].to_numpy()] = counted["often"].to_numpy()  # as many rows as there are slots at most
     shared = one.sparkSession.sparkContext.broadcast(often)
 
     @lean
@@ -380,20 +425,20 @@ def sub_bands(members: DataFrame, similarity: float, most_slots: int = 1 << 20)
                 row += [k] * len(first)
                 subs.append(h[first])
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*subs, np.empty(0, np.uint64)]).view(np.int64)), *(batch.column(c).take(take) for c in ("id", "root", "shingles"))], ["bucket", "id", "root", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*subs, np.empty(0, np.uint64)]).view(np.int64)), *(batch.column(c).take(take) for c in ("id", "root"))], ["bucket", "id", "root"])
 
-    return stored(one.mapInArrow(run, "bucket long, id long, root long, shingles binary"), "sub-bands")
+    return stored(one.mapInArrow(run, "bucket long, id long, root long"), "sub-bands")
 
 
-def _met(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, id) that join the components of each bucket's ``members`` (bucket, id, root, shingles).
+def _met(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, id) that join the components of each bucket's ``members`` (bucket, id, root). ``sets``: id, shingles.
 
     Exact for all pairs of two blocks at once: shared shingles are counted by a matrix product over the shingles that more than one
     member has. Only links come out, and no more than join what was apart in the group.
     """
 
     def links(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
+        sets = [np.frombuffer(b, np.uint32) for b in group.column("shingles").to_pylist()]
         ids, roots, own = group.column("doc_id").to_pylist(), group.column("root").to_pylist(), group.column("own").to_numpy()
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         size = np.array([len(s) for s in sets], dtype=np.float32)
@@ -436,137 +481,147 @@ def _met(members: DataFrame, similarity: float) -> DataFrame:
                 made += links(group)
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.int64()) for k in (0, 1)], ["a", "id"])
 
-    dealt = dealt_blocks(members.withColumnRenamed("id", "doc_id"), BLOCK).select("bucket", "x", "y", "own", "doc_id", "root", "shingles").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id")
+    dealt = dealt_blocks(members.withColumnRenamed("id", "doc_id"), BLOCK).join(sets.withColumnRenamed("id", "doc_id"), "doc_id").select("bucket", "x", "y", "own", "doc_id", "root", "shingles").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id")
     return dealt.mapInArrow(compare, "a long, id long").distinct()
 
 
-def _apart_links(company: DataFrame, roots: DataFrame, around: DataFrame, similarity: float) -> DataFrame | None:
+def _wide(batches):
+    """Shingles in 64 bits, as sub-bands take them; the low bits, which choose slots, are mixed ones already."""
+    for batch in batches:
+        made = [np.frombuffer(x, np.uint32).astype(np.uint64).tobytes() for x in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(made, pa.binary())], ["id", "root", "shingles"])
+
+
+def _apart_links(company: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> DataFrame | None:
     """Links between lines that stand apart in a band after each was verified against one other; None if there are none."""
-    members = stored(apart(company.filter(F.col("bucket").bitwiseAND(1) == 1).select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id"), "apart")
-    if members.isEmpty():
-        return None
-    lines = around.filter(F.col("n") > UNIT).select("id", "n", "left", "words")
-    members = stored(_shingled(members.join(lines, "id")), "members")
-    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > LARGE), "large")
-    several = members
-    if not sizes.isEmpty():
-        split = dealt_join(members, sizes, "bucket", "left")
-        few, many = split.filter("many is null").drop("many"), stored(split.filter("many is not null").drop("many"), "many")
-        dealt = stored(sub_bands(many, similarity), "dealt")
-        held = apart(dealt.select("bucket", F.col("id").alias("doc_id")), roots).select("bucket", F.col("doc_id").alias("id"))
-        several = few.unionByName(dealt.join(stored(held, "held"), ["bucket", "id"]).select(few.columns))
-    pairs = stored(_met(stored(several, "several"), similarity), "pairs")
-    if pairs.isEmpty():
-        return None
-    return _linked(pairs.join(lines, "id"), stored(lines.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "heads"), similarity)
+    with scope() as paths:
+        members = stored(apart(company.select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id"), "apart")
+        if members.isEmpty():
+            return None
+        one = stored(_shingled(lines.select("id", "n", "left", "words").join(stored(members.select("id", "root").distinct(), "apart-lines"), "id")), "shingles")
+        sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > LARGE).select("bucket"), "large")
+        if not sizes.isEmpty():
+            large = dealt_join(members, sizes, "bucket").select("id").distinct()
+            dealt = sub_bands(one.join(large, "id").mapInArrow(_wide, "id long, root long, shingles binary"), similarity)
+            dealt = apart(dealt.select("bucket", F.col("id").alias("doc_id")), roots).withColumnRenamed("doc_id", "id")
+            members = members.join(F.broadcast(sizes), "bucket", "left_anti").unionByName(dealt.select(members.columns))
+        pairs = stored(_met(members.select("bucket", "id", "root"), one.select("id", "shingles"), similarity), "pairs")
+        links = None
+        if not pairs.isEmpty():
+            heads = lines.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+            links = stored(_linked(pairs.join(lines.drop("a"), "id"), stored(heads, "heads"), similarity), "more-links")
+    remove(lines.sparkSession, [p for p in paths if links is None or p != links._stored_at])
+    return links
+
+
+def _run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, by doubling."""
+    both = lambda a, b: mix64(a * _C ^ b)
+    h, size = mix64(words), 1
+    while 2 * size <= width:
+        h, size = both(h[: max(0, len(h) - size)], h[size:]), 2 * size
+    return both(h[: max(0, len(h) - (width - size))], h[width - size :]) if width > size else h
 
 
-def _long_runs(links: DataFrame, roots: DataFrame, around: DataFrame, min_run: int) -> DataFrame | None:
-    """doc_id, version, from, to, of: runs of ``min_run`` words around members of components that a partner's shorter passage may have hidden."""
-    short = links.filter(F.col("equal") & (F.col("b_to") - F.col("b_from") < min_run)).select(F.col("b").alias("node"))
-    several = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 2").select("root")
-    which = stored(roots.join(short.distinct(), "node").select("root").distinct().join(several, "root"), "short")
+def _long_runs(links: DataFrame, around: DataFrame, min_run: int) -> DataFrame | None:
+    """node, from, to, first: runs of ``min_run`` words around paragraphs of which a partner's shorter passage may have hidden some."""
+    units = around.filter(F.col("n") == UNIT)
+    short = links.filter(F.col("unit") & (F.col("b_to") - F.col("b_from") < min_run)).select(F.col("a").alias("root")).distinct()
+    several = units.groupBy("root").agg(F.count("*").alias("members")).filter("members > 2").select("root")
+    which = stored(several.join(short, "root"), "short")
     if which.isEmpty():
         return None
-    members = stored(dealt_join(roots, which, "root").withColumnRenamed("node", "id"), "in-short")
-    held = stored(around.filter(F.col("n") == UNIT).join(members, "id").select("id", "root", "doc_id", "version", "start", "left", "words"), "short-around")
-    want = min_run - UNIT  # words more than the paragraph's; half of them stand before it or behind it
-    half = (want + 1) // 2
-
-    @lean
-    def halves(batches):
-        import xxhash
-
-        for batch in batches:
-            rows, sides, keys = [], [], []
-            for k, (root, left, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "left", "words")), strict=True)):
-                for side, at in ((0, left - half), (1, left)):
-                    if at >= 0 and len(words) >= 4 * (at + UNIT + half):
-                        rows.append(k)
-                        sides.append(side)
-                        keys.append(xxhash.xxh3_64_intdigest(words[4 * at : 4 * (at + UNIT + half)], (root * 2 + side) & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sides, pa.int32()), pa.array(keys, pa.int64())], ["id", "side", "key"])
-
-    sided = stored(held.select("id", "root", "left", "words").mapInArrow(halves, "id long, side int, key long"), "halves")
-    node = F.shiftright("id", BITS)
-    twice = stored(sided.groupBy("key").agg(F.min(node).alias("low"), F.max(node).alias("high")).filter("low <> high").select("key"), "twice")
-    kept = dealt_join(sided, twice, "key").groupBy("id").agg(F.max(F.col("side") == 0).alias("before"), F.max(F.col("side") == 1).alias("behind"))
-    held = held.join(kept, "id")
+    want = min_run - UNIT
 
     @lean
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            row, at, key = [], [], []
-            for k, (root, start, left, words, before, behind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "start", "left", "words", "before", "behind")), strict=True)):
-                seed, right = root & 0xFFFFFFFFFFFFFFFF, len(words) // 4 - left - UNIT
-                for more in range(max(0, want - right, 0 if behind else half), min(left, want, want if before else half - 1) + 1):
-                    j = left - more
-                    row.append(k)
-                    at.append(start - more)
-                    key.append(xxhash.xxh3_64_intdigest(words[4 * j : 4 * (j + min_run)], seed) - (1 << 63))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at, pa.int32())], ["key", "doc_id", "version", "at"])
-
-    each = stored(held.mapInArrow(run, f"key long, doc_id {_kind(around)}, version long, at int"), "runs")
-    one = F.struct("doc_id", "version")
-    again = each.groupBy("key").agg(F.min(F.struct("doc_id", "version", "at")).alias("of"), F.max(one).alias("last")).filter((F.col("of.doc_id") != F.col("last.doc_id")) | (F.col("of.version") != F.col("last.version")))
-    found = dealt_join(each, stored(again.select("key", "of"), "again"), "key").filter((F.col("doc_id") != F.col("of.doc_id")) | (F.col("version") != F.col("of.version")))
-    return found.select("doc_id", "version", F.col("at").alias("from"), (F.col("at") + min_run).alias("to"), F.struct(F.col("of.doc_id").alias("doc_id"), F.col("of.at").alias("start")).alias("of"))
+            ids, start, left = (batch.column(c).to_numpy().astype(np.int64) for c in ("id", "start", "left"))
+            words, at, end = _flat(batch.column("words"), left)
+            low, high = start - np.minimum(left, want), start - np.maximum(0, want - (end - at - UNIT))
+            node = ids >> BITS
+            follows = np.flatnonzero((node[1:] == node[:-1]) & (start[1:] >= start[:-1]))  # the one before has had its runs
+            low[follows + 1] = np.maximum(low[follows + 1], high[follows] + 1)
+            count = np.maximum(0, high - low + 1)
+            row = np.repeat(np.arange(len(ids)), count)
+            place = np.arange(len(row)) - (np.cumsum(count) - count)[row] + low[row]
+            keys = _run_hashes(words, min_run)[at[row] - start[row] + place] if len(row) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((node[row] << BITS) + place)], ["bucket", "id"])
+
+    held = dealt_join(units.select("root", "id", "start", "left", "words"), which, "root").select("id", "start", "left", "words")
+    each = stored(held.mapInArrow(run, "bucket long, id long"), "runs")
+    at = F.col("id").bitwiseAND((1 << BITS) - 1).cast("int")
+    again = stored(company_of(each).filter(node_of("id") != node_of("first")).select(node_of("id").alias("node"), at.alias("from"), (at + min_run).alias("to"), "first"), "again")
+    release(each)
+    return again
+
+
+def _line_repeats(company: DataFrame, links: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """node, from, to, first: lines of components that aren't in the first document of theirs, as far as their links reach."""
+    links = stored(links.filter("not unit"), "line-links")
+    roots = stored(components(links.select("a", "b")), "roots")
+    if (more := _apart_links(company, roots, lines, similarity)) is not None:
+        links, roots = links.unionByName(more), stored(extended(roots, more), "roots")
+    sides = links.select(*(F.col(f"a{c}").alias(c.strip("_") or "node") for c in ("", "_start", "_from", "_to"))).unionByName(links.select(*(F.col(f"b{c}").alias(c.strip("_") or "node") for c in ("", "_start", "_from", "_to"))))
+    reach = sides.groupBy("node").agg(F.first("start").alias("start"), F.min("from").alias("from"), F.max("to").alias("to"))
+    several = stored(reach.join(roots, "node").withColumnRenamed("node", "id"), "several")
+    first = stored(several.groupBy("root").agg(F.min(placed("id", "start")).alias("first")), "passages")
+    found = dealt_join(several, first, "root").filter(node_of("id") != node_of("first"))
+    return found.select(node_of("id").alias("node"), (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"), "first")
 
 
 def repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, version (a hash of the text), cut: the runs of words (from, to, and where the first repeat in it first occurs) that repeat an earlier document's."""
     if min_run < UNIT + 10:
         raise ValueError(f"min_run must be {UNIT + 10} words or more")
-    width = min_run - UNIT
+    with scope() as paths:
+        out = _repeats(docs, min_run, similarity, id_col, text_col)
+    remove(docs.sparkSession, [p for p in paths if p != out._stored_at])
+    return out
+
+
+def _repeats(docs: DataFrame, min_run: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
     signed = stored(_signed(rows, min_run, similarity).withColumn("m", F.monotonically_increasing_id()), "paragraphs")
     if not signed.groupBy("doc_id", "version").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         rows, twice = rows.dropDuplicates(["doc_id", "version"]), signed
         signed = stored(twice.groupBy("doc_id", "version").agg(F.min_by(F.struct("starts", "sizes", "keys", "of"), "m").alias("x")).select("doc_id", "version", "x.*").withColumn("m", F.monotonically_increasing_id()), "paragraphs")
         release(twice)
-    numbered = _numbered(signed)
-    # Bands that come twice, then their members.
-    twice = stored(signed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bands")
+    ranks = _ranked(signed)
+    numbered = signed.join(small(ranks.select(F.col("row").alias("m"), "node")), "m")
     members = numbered.select("node", F.explode(F.arrays_zip("keys", "of")).alias("x")).select(F.col("x.keys").alias("bucket"), (F.shiftleft("node", BITS) + F.col("x.of")).alias("id"))
-    shared = stored(members.join(small(twice), "bucket"), "shared")
-    firsts = shared.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.shiftright("first", BITS) != F.shiftright("last", BITS)).select("bucket", "first")
-    company = stored(dealt_join(shared, stored(firsts, "firsts"), "bucket"), "company")
-    release(twice, shared)
-    # One partner each, of another document; only what is first in some band (``head``) can be one.
-    partner = company.groupBy("id", "first").agg(F.count("*").alias("n")).withColumn("other", F.shiftright("first", BITS) != F.shiftright("id", BITS))
+    company = stored(company_of(members), "company")
+    # A paragraph of UNIT words is in one band, whose first is its partner. Of a line's, one of another document that it shares most bands with;
+    # only what is first in some band (``head``) can be one.
+    is_line, other = F.col("bucket").bitwiseAND(1) == 1, node_of("first") != node_of("id")
+    units = company.filter(~is_line).select("id", F.when(other, F.col("first")).alias("a"), (F.col("first") == F.col("id")).alias("head"), F.col("first").alias("root"))
+    in_lines = company.filter(is_line)
+    partner = in_lines.groupBy("id", "first").agg(F.count("*").alias("n")).withColumn("other", other)
     partner = partner.groupBy("id").agg(F.max_by(F.when(F.col("other"), F.col("first")), F.struct("other", "n", -F.col("first"))).alias("a"), F.max(F.col("first") == F.col("id")).alias("head"))
-    units = stored(partner.groupBy(F.shiftright("id", BITS).alias("node")).agg(F.collect_list(F.struct("id", "a", "head")).alias("units")), "units")
+    units = units.unionByName(partner.withColumn("root", F.lit(None).cast("long")))
+    units = stored(units.groupBy(node_of("id").alias("node")).agg(F.sort_array(F.collect_list(F.struct("id", "a", "head", "root"))).alias("units")), "units")
     place = lambda u: u["id"].bitwiseAND((1 << BITS) - 1).cast("int")
     wanted = numbered.select("node", "doc_id", "version", "starts", "sizes").join(units, "node")
-    wanted = stored(wanted.select("doc_id", "version", F.transform("units", lambda u: F.struct(u["id"].alias("id"), u["a"].alias("a"), u["head"].alias("head"), F.get("starts", place(u)).alias("start"), F.get("sizes", place(u)).alias("n"))).alias("units")), "wanted")
+    wanted = stored(wanted.select("doc_id", "version", F.transform("units", lambda u: F.struct(u["id"].alias("id"), u["a"].alias("a"), u["head"].alias("head"), u["root"].alias("root"), F.get("starts", place(u)).alias("start"), F.get("sizes", place(u)).alias("n"))).alias("units")), "wanted")
     release(signed, units)
-    around = stored(_around(rows, wanted, width), "around")
+    around = stored(_around(rows, wanted, min_run - UNIT), "around")
     release(wanted)
     links = stored(_linked(around.filter("a is not null"), around.filter("head"), similarity), "links")
-    kept, roots = [links], stored(components(links.select("a", "b")), "roots")
-    if (more := _apart_links(company, roots, around, similarity)) is not None:
-        more, before = stored(more, "more-links"), roots
-        links, kept, roots = links.unionByName(more), [links, more], stored(extended(before, more), "roots")
-        release(before)
-    # Repeats: members of components that aren't in the first document of theirs, as far as their links reach.
-    sides = links.select(F.col("a").alias("node"), F.col("a_from").alias("from"), F.col("a_to").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("b_from").alias("from"), F.col("b_to").alias("to")))
-    reach = sides.groupBy("node").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(roots, "node").withColumnRenamed("node", "id")
-    several = stored(around.select("id", "doc_id", "version", "start").join(reach, "id"), "several")
-    first = stored(several.groupBy("root").agg(F.min(F.struct("doc_id", "version", "start")).alias("of")), "passages")
-    found = dealt_join(several, first, "root").filter((F.col("doc_id") != F.col("of.doc_id")) | (F.col("version") != F.col("of.version")))
-    found = found.select("doc_id", "version", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"), F.struct("of.doc_id", "of.start").alias("of"))
-    if (hidden := _long_runs(links, roots, around, min_run)) is not None:
+    # Repeats: as far as paragraphs agree with the first document's, lines with any of their component's, and longer runs that these hid.
+    found = links.filter("unit").select(node_of("b").alias("node"), (F.col("b_start") + F.col("b_from")).alias("from"), (F.col("b_start") + F.col("b_to")).alias("to"), placed("a", "a_start").alias("first"))
+    if not in_lines.isEmpty():
+        found = found.unionByName(stored(_line_repeats(in_lines, links, around.filter(F.col("n") != UNIT), similarity), "line-repeats"))
+    release(company)
+    if (hidden := _long_runs(links, around, min_run)) is not None:
         found = found.unionByName(hidden)
-    lists = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("from", "to", "of")).alias("found"))
+    release(around)
+    lists = found.groupBy("node").agg(F.collect_list(F.struct("from", "to", "first")).alias("found"))
 
     @lean
     def join_runs(batches):
         for batch in batches:
-            pieces = batch.column(2).flatten()
-            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            pieces = batch.column(1).flatten()
+            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
             begin, end = (pieces.field(k).to_numpy().astype(np.int64) for k in ("from", "to"))
             order = np.lexsort((end, begin, row))
             row, begin, end, pieces = row[order], begin[order], end[order], pieces.take(pa.array(order))
@@ -577,18 +632,13 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILAR
             begin, row = begin[first], row[first]
             end = (reach[np.append(first[1:], len(reach)) - 1] if len(first) else reach[:0]) - row * wide
             long = end - begin >= min_run
-            begin, end, row, of = begin[long], end[long], row[long], pieces.field("of").take(pa.array(first[long]))
-            some, count = np.unique(row, return_counts=True)
-            kind = batch.schema.field(2).type
-            runs = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), of], fields=list(kind.value_type))
-            cut = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), runs)
-            take = pa.array(some)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), cut], ["doc_id", "version", "cut"])
-
-    cut = lists.mapInArrow(join_runs, f"doc_id {_kind(rows)}, version long, cut array<struct<`from`:int,`to`:int,of:struct<doc_id:{_kind(rows)},start:int>>>")
-    out = stored(cut, "cuts")
-    release(*kept, roots, around, company, several, first)
-    return out
+            of = pieces.field("first").to_numpy()[first[long]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[long])), pa.array(begin[long], pa.int32()), pa.array(end[long], pa.int32()), pa.array(of >> BITS), pa.array((of & ((1 << BITS) - 1)).astype(np.int32))], ["node", "from", "to", "first", "start"])
+
+    runs = stored(lists.mapInArrow(join_runs, "node long, `from` int, `to` int, first long, start int"), "joined-runs")
+    runs = dealt_join(runs, ranks.select(F.col("node").alias("first"), F.col("doc_id").alias("first_id")), "first")
+    cuts = runs.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("from", "to", F.struct(F.col("first_id").alias("doc_id"), "start").alias("of")))).alias("cut"))
+    return stored(cuts.join(small(ranks.select("node", "doc_id", "version")), "node").select("doc_id", "version", "cut"), "cuts")
 
 
 def cut_repeats(docs: DataFrame, min_run: int = MIN_RUN, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", cuts_col: str = "cuts") -> DataFrame:
