@@ -10,12 +10,11 @@ they are, what repeats is cut into the same paragraphs in every document.)
    if an end word differs, and then the words beside say the same. Bands that several documents have are joined.
 2. Each paragraph is verified by exact Jaccard against one other: of those that are first in bands it is in, the one it shares most bands
    with. Equal words beside the two are followed as far as they go, so a link also says how far the repetition reaches.
-3. Lines that still stand apart in a band are compared with all else there, in blocks of bounded size. Members of large bands are
+3. Lines that still stand apart in a band are compared with all else there, in blocks of bounded size, by 32 bits of each shingle, then as in 2. Members of large bands are
    first dealt to sub-bands by their rarest shingles (a prefix filter: two sets that are similar enough share one of them).
-4. Connected components of links are the passages. Where members of one agree less far with their partners than ``min_run`` words, those
-   that agree further with another are found by half of the words that are wanting, and grouped by every run of ``min_run`` words
-   around them; so a shorter passage hides no longer one.
-5. What belongs to a component is a repeat, unless it stands in the component's first document. Repeats that touch or overlap (or leave out
+4. Connected components of lines' links are passages; a paragraph of UNIT words belongs to its band's first. Where some of a band agree less far
+   with that one than ``min_run`` words, every run of ``min_run`` words around its members is grouped by a hash; so a shorter passage hides no longer one.
+5. What belongs to a component is a repeat, unless it stands in the component's first document (by id). Repeats that touch or overlap (or leave out
    at most GAP words) join, and runs of at least ``min_run`` words are cut. So every exact repetition of that many words in an earlier document goes.
 
 Defined cases: null texts stay null and empty ones empty; a text under ``min_run`` words is never cut; a passage that repeats inside one
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, WordHasher, dealt_join, free_name, lean, mix64, release, remove, runs_of, scope, shingles, small, stored, word_list
+from .common import WORD, WordHasher, dealt_join, free_name, is_small, lean, mix64, release, remove, runs_of, scope, shingles, small, stored, word_list
 from .components import components, extended
 from .near_dedup import apart, dealt_blocks
 
@@ -204,15 +203,17 @@ def placed(name: str, start: str) -> Column:
 
 
 def company_of(rows: DataFrame, most: int = 4096) -> DataFrame:
-    """bucket, id, first (the bucket's least id) of ``rows`` (bucket, id; read twice) whose bucket several documents have.
+    """bucket, id, first (the bucket's least id) of ``rows`` (bucket, id; read several times) whose bucket several documents have.
 
-    All rows of a bucket meet in one task, once. Buckets that may have over ``most`` rows, and over a two thousandth of all, are told by counts in
-    slots; their least and largest ids are aggregated before they are shuffled, and joined.
+    All rows of a bucket meet in one task, once. Buckets that have over ``most`` rows, and over a two thousandth of all, are fewer than 2,000; counts in
+    slots tell where they may be. Their least and largest ids are aggregated before they are shuffled, and their rows stay where they are.
     """
     slot = F.shiftright("bucket", 8).bitwiseAND(SLOTS - 1)
     counted = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()  # as many rows as there are slots at most
     n = counted["n"].to_numpy()
-    hot = counted["slot"].to_numpy()[n > max(most, int(n.sum()) // 2000)].tolist()
+    most = max(most, int(n.sum()) // 2000)
+    slots, rows = counted["slot"].to_numpy()[n > most].tolist(), rows.select("bucket", "id")
+    ends = rows.filter(slot.isin(slots)).groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("n") > most).sort("bucket").toArrow() if slots else None
 
     @lean
     def run(batches):
@@ -231,14 +232,20 @@ def company_of(rows: DataFrame, most: int = 4096) -> DataFrame:
         for at in range(0, len(ids), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (bucket, ids, first)], ["bucket", "id", "first"])
 
-    rows = rows.select("bucket", "id")
-    cold = rows.filter(~slot.isin(hot)) if hot else rows
-    out = cold.repartition("bucket").mapInArrow(run, "bucket long, id long, first long")
-    if hot:
-        often = stored(rows.filter(slot.isin(hot)), "often")
-        firsts = often.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(node_of("first") != node_of("last")).select("bucket", "first")
-        out = out.unionByName(dealt_join(often, stored(firsts, "firsts"), "bucket").select("bucket", "id", "first"))
-    return out
+    kind = "bucket long, id long, first long"
+    if not ends:
+        return rows.repartition("bucket").mapInArrow(run, kind)
+    keys, low, high = (ends[c].to_numpy() for c in ("bucket", "low", "high"))
+
+    @lean
+    def named(batches):
+        for batch in batches:
+            at = np.searchsorted(keys, batch.column(0).to_numpy())
+            take = pa.array(np.flatnonzero((low >> BITS != high >> BITS)[at]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(low[at]).take(take)], ["bucket", "id", "first"])
+
+    is_hot = F.col("bucket").isin(keys.tolist())
+    return rows.filter(~is_hot).repartition("bucket").mapInArrow(run, kind).unionByName(rows.filter(is_hot).mapInArrow(named, kind))
 
 
 def _around(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -328,13 +335,25 @@ def _alike(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, most
     return np.argmin(np.concatenate((same, np.zeros((len(at), 1), bool)), axis=1), axis=1)
 
 
+def _partnered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``pairs`` with their partners' rows of ``heads``, by ``a``. Partners of very many are 10,000 at most: what has them is joined on its own, the rest isn't looked up."""
+    if is_small(heads):
+        return pairs.join(F.broadcast(heads), "a")
+    each = max(4096, pairs.count() // 10_000)
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > each).select("a").toArrow()["a"].to_pylist()
+    if not hot:
+        return pairs.join(heads, "a")
+    is_hot = F.col("a").isin(hot)
+    return pairs.filter(~is_hot).join(heads.filter(~is_hot), "a").unionByName(dealt_join(pairs.filter(is_hot), heads.filter(is_hot), "a"))
+
+
 LINK = "a long, b long, a_start int, b_start int, a_from int, a_to int, b_from int, b_to int, unit boolean"
 
 
 def _linked(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """The links among ``pairs`` (a, id, start, n, left, words) and their partners' rows of ``heads``."""
     other = heads.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("start", "n", "left", "words")))
-    joined = dealt_join(pairs.select("a", "id", "start", "n", "left", "words"), other, "a").select("a", "id", "a_n", "a_left", "a_words", "n", "left", "words", "a_start", "start")
+    joined = _partnered(pairs.select("a", "id", "start", "n", "left", "words"), other).select("a", "id", "a_n", "a_left", "a_words", "n", "left", "words", "a_start", "start")
 
     @lean
     def compare(batches):
