@@ -202,9 +202,12 @@ def placed(name: str, start: str) -> Column:
     return F.shiftleft(node_of(name), BITS) + F.col(start)
 
 
-def company_of(rows: DataFrame, most: int = 4096) -> DataFrame:
+def company_of(rows: DataFrame, most: int = 4096, runs: bool = False) -> DataFrame:
     """bucket, id, first (the bucket's least id) of ``rows`` (bucket, id; read several times) whose bucket several documents have.
 
+    With ``runs``, ids are places: only those of other documents than the first come out, and such as follow one another in hot buckets may come
+    as one, that of the least; ``n`` says how many they are.
+
     All rows of a bucket meet in one task, once. Buckets that have over ``most`` rows, and over a two thousandth of all, are fewer than 2,000; counts in
     slots tell where they may be. Their least and largest ids are aggregated before they are shuffled, and their rows stay where they are.
     """
@@ -228,11 +231,22 @@ def company_of(rows: DataFrame, most: int = 4096) -> DataFrame:
         low, high = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
         several = (low >> BITS) != (high >> BITS)
         keep, first = np.repeat(several, size), np.repeat(low[several], size[several])
-        bucket, ids = bucket[keep], ids[keep]
+        yield from made(bucket[keep], ids[keep], first, False)
+
+    def made(bucket, ids, first, hot):
+        n = np.ones(len(ids), np.int32)
+        if runs:
+            other = ids >> BITS != first >> BITS
+            bucket, ids, first, n = (x[other] for x in (bucket, ids, first, n))
+        if runs and hot and len(ids):
+            begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1] + 1))
+            n = np.diff(np.append(begin, len(ids))).astype(np.int32)
+            bucket, ids, first = (x[begin] for x in (bucket, ids, first))
+        columns = {"bucket": bucket, "id": ids, "first": first} | ({"n": n} if runs else {})
         for at in range(0, len(ids), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (bucket, ids, first)], ["bucket", "id", "first"])
+            yield pa.RecordBatch.from_pydict({c: pa.array(x[at : at + (1 << 16)]) for c, x in columns.items()})
 
-    kind = "bucket long, id long, first long"
+    kind = "bucket long, id long, first long" + ", n int" * runs
     if not ends:
         return rows.repartition("bucket").mapInArrow(run, kind)
     keys, low, high = (ends[c].to_numpy() for c in ("bucket", "low", "high"))
@@ -240,9 +254,10 @@ def company_of(rows: DataFrame, most: int = 4096) -> DataFrame:
     @lean
     def named(batches):
         for batch in batches:
-            at = np.searchsorted(keys, batch.column(0).to_numpy())
-            take = pa.array(np.flatnonzero((low >> BITS != high >> BITS)[at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(low[at]).take(take)], ["bucket", "id", "first"])
+            bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.searchsorted(keys, bucket)
+            several = (low >> BITS != high >> BITS)[at]
+            yield from made(bucket[several], ids[several], low[at][several], True)
 
     is_hot = F.col("bucket").isin(keys.tolist())
     return rows.filter(~is_hot).repartition("bucket").mapInArrow(run, kind).unionByName(rows.filter(is_hot).mapInArrow(named, kind))
@@ -570,7 +585,7 @@ def _long_runs(links: DataFrame, around: DataFrame, min_run: int) -> DataFrame |
     held = dealt_join(units.select("root", "id", "start", "left", "words"), which, "root").select("id", "start", "left", "words")
     each = stored(held.mapInArrow(run, "bucket long, id long"), "runs")
     at = F.col("id").bitwiseAND((1 << BITS) - 1).cast("int")
-    again = stored(company_of(each).filter(node_of("id") != node_of("first")).select(node_of("id").alias("node"), at.alias("from"), (at + min_run).alias("to"), "first"), "again")
+    again = stored(company_of(each, runs=True).select(node_of("id").alias("node"), at.alias("from"), (at + F.col("n") - 1 + min_run).alias("to"), "first"), "again")
     release(each)
     return again
 

@@ -75,3 +75,12 @@ def test_only_the_cuts_stay_stored(spark):
         S.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     left = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
     assert len(left) == 1 and "/cuts-" in left[0] and len(paths) > 8
+
+
+@pytest.mark.parametrize("most", [3, 4096])
+def test_places_of_several_documents(spark, most):
+    """A very common passage makes one row a document, not one for each run of it; and the places are the same."""
+    rows = [(k << 8, d << S.BITS | 100 * (d % 3) + k) for d in range(50) for k in range(30)] + [(1000 << 8, 3 << S.BITS)]
+    got = S.company_of(spark.createDataFrame(rows, "bucket long, id long").coalesce(1), most, runs=True).collect()
+    assert {(r.id + k, r.first + k) for r in got for k in range(r.n)} == {(i, b >> 8) for b, i in rows if i >> S.BITS and b >> 8 < 1000}
+    assert len(got) == (49 if most == 3 else 49 * 30)
